@@ -90,6 +90,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, most: float = 2.0,
     )
     plan = goal.alias("g").join(edge.alias("e"), F.expr("g.source <=> e.s"), "left")
     plan = plan.withColumn("epochs", epochs).select("source", "source_size", "target", "epochs", F.coalesce("edge_bin", F.lit(-1)).alias("edge_bin"), F.coalesce("edge_words", F.lit(0)).alias("edge_words"))
+    plan = shared_table(plan, "mix-plan")  # of known size: one row per source
     rows = keyed.alias("k").join(plan.alias("p"), F.expr("k.source <=> p.source")).select("k.*", "p.source_size", "p.target", "p.epochs", "p.edge_bin", "p.edge_words")
     out = ["_id", "source", "_h", "size", "source_size", "target", "epochs"]
     sure = rows.where("_bin <> edge_bin").select(*out, F.when(F.expr("_bin < edge_bin"), F.col("size")).otherwise(F.lit(0)).alias("part"))
