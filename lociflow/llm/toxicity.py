@@ -122,12 +122,13 @@ def _choose(rows) -> Model:
     """Markers: words and starts that label 1 has far oftener than label 0."""
     counts = [Counter(), Counter()]
     total = [1e-9, 1e-9]
-    for words, y, weight in rows:
+    for words, y, weight in sorted(rows, key=lambda r: -r[1]):
         total[y] += weight
         seen = set(words)
         for w in words:
             seen.update(w[:k] + "*" for k in STARTS if len(w) > k)
-        for f in seen:
+        # label 1 first: of label 0 only what can still be a marker is counted
+        for f in seen if y else seen & counts[1].keys():
             counts[y][f] += weight
     least = max(2.0, 0.006 * total[1])
     strong = 14.0  # of n * ln(rate ratio), which grows with the number of rows behind it
