@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = False, id_col="doc
     def compute(texts):
         sp = SentencePieceBPE.load(model)
         joined = sp.encode_joined(texts)
-        lists = [np.array(s.split(","), np.int32) if s else np.zeros(0, np.int32) for s, _ in joined]
+        lists = [np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32) for s, _ in joined]
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         out = [[n for _, n in joined], [sha(s.encode()) for s, _ in joined], [sha(sp.decode_bytes(x.tolist())) for x in lists]]
         return [*out, lists] if ids else out
