@@ -54,6 +54,14 @@ def fold_of(doc_id, folds: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+def by_place(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns named c0, c1 ... by place, and the new names of the used ones.
+
+    So operators that add columns of their own work whatever the others are called."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(u)}" for u in used]
+
+
 def map_text(base: DataFrame, text: str, compute, added: str, drop_text: bool = True, rows: int = 512) -> DataFrame:
     """base with further columns computed from its text column.
 

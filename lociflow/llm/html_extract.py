@@ -186,7 +186,7 @@ def extract(page: str | None) -> str:
                 space = True
         elif t[1] == "br":
             space = True
-        elif t[1] not in INLINE:
+        elif t[1] not in INLINE and not (t[0] == "x" and t[1] in RAW):
             if words:
                 blocks.append(" ".join(words))
             words, space = [], True

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_components, map_text, pair_blocks, shared_table
+from .common import by_place, components, local_components, map_text, pair_blocks, shared_table
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -198,7 +198,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat this id the one whose text sorts first stays (one of them, if they
     are equal).  Rows with a null id have no name to be kept under and all stay."""
-    comp = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
+    names = docs.columns
+    docs, (id_col, text_col) = by_place(docs, id_col, text_col)
+    comp = near_duplicates(docs, id_col=id_col, text_col=text_col)
     keep = comp.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n"))
     kept = docs.join(keep, id_col)
     rest = [c for c in docs.columns if c != id_col]
@@ -208,4 +210,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select(id_col, "_m._r.*")
     )
     nulls = docs.where(F.col(id_col).isNull())
-    return kept.where("_n = 1").select(docs.columns).unionByName(again).unionByName(nulls)
+    return kept.where("_n = 1").select(docs.columns).unionByName(again).unionByName(nulls).toDF(*names)
