@@ -44,7 +44,7 @@ def region_match(chrom, pos, region, start=-1, end=-1):
 
 HELPERS = {f.__name__: f for f in (csv_match, wildcard_match, regex_match, region_match)}
 # fixed values: what Java's and Python's patterns have in common
-_SAME_REGEX = re.compile(r"(?:[\w\s!@#%&=:;,<>/\"'~`-]|\.|\*\??|\+\??|\?|\||\^|\$|\\[.*+?|()\[\]{}^$\\dwDW]|\[\^?[\w-]+\]|\((?:\?:)?|\)|\{\d+(?:,\d*)?\})*", re.A)
+_SAME_REGEX = re.compile(r"(?:[\w\s!@#%&=:;,<>/\"'~`-]|\.|\*\??|\+\??|\?|\||\^|\$|\\[.*+?|()\[\]{}^$\\dwDW]|\[\^?[\w-]+\]|\((?:\?:|(?!\?))|\)|\{\d+(?:,\d*)?\})*", re.A)
 _COMPARE = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge}
 _ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul}
 

@@ -130,10 +130,12 @@ def sample(pairs: PairsFrame, fraction: float, seed: int = 0, native: bool = Fal
     return step.with_df(ordered.mapInPandas(run, pairs.df.schema))
 
 
-def _alternatives(tag: Column, score_at: int) -> Column:
-    """(chrom, mismatches or score) of each hit of an XA or XB tag."""
-    hits = F.filter(F.split(tag, ";"), lambda x: x != "")
-    return F.transform(hits, lambda x: F.struct(F.get(F.split(x, ","), F.lit(0)).alias("chrom"), F.get(F.split(x, ","), F.lit(score_at)).cast("int").alias("score")))
+def _rivals(tag: Column, at: int, own: Column, mode: str) -> Column:
+    """Chromosomes of the hits of an XA or XB tag that are as good as the best hit."""
+    hits = F.transform(F.filter(F.split(tag, ";"), lambda x: x != ""), lambda x: F.split(x, ","))
+    value = lambda x: F.get(x, F.lit(at)).cast("int")
+    equal = F.filter(hits, lambda x: value(x) >= own if mode == "XB" else value(x) <= own)
+    return F.transform(equal, lambda x: F.get(x, F.lit(0)))
 
 
 def phase(pairs: PairsFrame, suffixes: tuple[str, str], tag_mode: str = "XB", clean: bool = False) -> PairsFrame:
@@ -153,11 +155,12 @@ def phase(pairs: PairsFrame, suffixes: tuple[str, str], tag_mode: str = "XB", cl
         suffix = F.when(chrom.endswith(suffixes[0]), F.lit(suffixes[0])).when(chrom.endswith(suffixes[1]), F.lit(suffixes[1]))
         base = F.substring(chrom, F.lit(1), F.length(chrom) - F.length(suffix))
         own = F.when(suffix == suffixes[0], F.lit("0")).otherwise(F.lit("1"))
-        alt = _alternatives(F.col(f"{tag_mode}{s}"), 4 if tag_mode == "XB" else 3)
         best = F.col(f"AS{s}") if tag_mode == "XB" else F.col(f"NM{s}")
-        equal = F.filter(alt, lambda x: (x["score"] >= best) if tag_mode == "XB" else (x["score"] <= best))
-        elsewhere = F.exists(equal, lambda x: ~(x["chrom"].isin(NO_CHROM) | x["chrom"].eqNullSafe(F.concat(base, F.lit(suffixes[0]))) | x["chrom"].eqNullSafe(F.concat(base, F.lit(suffixes[1])))))
-        twin = F.exists(equal, lambda x: x["chrom"] != chrom)
+        rivals = _rivals(F.col(f"{tag_mode}{s}"), 4 if tag_mode == "XB" else 3, best, tag_mode)
+        others = F.array_except(rivals, F.array(chrom))
+        twin = F.size(others) > 0
+        homologues = F.array(F.lit(NO_CHROM), *[F.concat(base, F.lit(x)) for x in suffixes])
+        elsewhere = F.size(F.array_except(others, homologues)) > 0
         undecided = F.col(f"XS{s}") >= F.col(f"AS{s}")
         p = F.when((chrom == NO_CHROM) | suffix.isNull(), F.lit("!")).when(~undecided, own).when(elsewhere, F.lit("!")).when(twin, F.lit(".")).otherwise(own)
         lost = p == "!"
