@@ -143,14 +143,16 @@ def pair_blocks(rows: DataFrame, key: str, ident: str, limit: int) -> DataFrame:
     ceil(rows / limit) blocks by the hash of ``ident``; each pair of blocks is a group of
     its own, so no group holds more than about two blocks.  Adds lo, hi (the group within
     the key) and blk (the row's block): rows of a group with lo < hi need comparing only
-    across its blocks.  Keys with one row have no pair and are left out.
+    across its blocks.  Only the large keys are joined to the rows; their table is
+    written first, so Spark knows its size and broadcasts it or not.
     """
-    n = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    cut = rows.join(n, key).withColumn("_b", F.ceil(F.col("_n") / limit).cast("int"))
+    n = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = shared_table(n.withColumn("_b", F.ceil(F.col("_n") / limit).cast("int")).select(key, "_b"), "hot-keys")
+    cut = rows.join(hot, key, "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
     cut = cut.withColumn("blk", F.pmod(F.xxhash64(ident), F.col("_b")).cast("int"))
     return (
         cut.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
         .withColumn("lo", F.least("blk", "_j"))
         .withColumn("hi", F.greatest("blk", "_j"))
-        .drop("_n", "_b", "_j")
+        .drop("_b", "_j")
     )
