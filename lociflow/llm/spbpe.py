@@ -29,7 +29,7 @@ from .common import map_text
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 _NONE = np.int64(1) << 40
 
 
@@ -101,6 +101,7 @@ class SentencePieceBPE:
         self._keys = np.array(keys, np.int64)[at]
         self._ranks, self._made = np.array(ranks, np.int64)[at], np.array(made, np.int64)[at]
         self._cache: dict[str, tuple[str, int, bytes]] = {}
+        self._text = [str(i) for i in range(len(pieces))]
         self._bytes = [bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else b" \xe2\x81\x87 " if t == 2 else p.replace(MARK, " ").encode() for p, t in zip(pieces, types)]
 
     @classmethod
@@ -124,7 +125,7 @@ class SentencePieceBPE:
             known[c] = self.symbol.get(c, -1 - ord(c))
         sym = np.fromiter(map(known.__getitem__, flat), np.int64, n)
         word = np.repeat(np.arange(len(words)), sizes)
-        out: list[list[int]] = [[] for _ in words]
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
         rank = at = None
         while len(sym):
             if rank is None:
@@ -133,8 +134,7 @@ class SentencePieceBPE:
             np.minimum.at(best, word, rank)
             done = best[word] == _NONE
             if done.any():
-                for w, s in zip(word[done].tolist(), sym[done].tolist()):
-                    out[w].append(s)
+                ended.append((word[done], sym[done]))
                 live = ~done
                 sym, word, rank, at = sym[live], word[live], rank[live], at[live]
                 if not len(sym):
@@ -154,9 +154,14 @@ class SentencePieceBPE:
             moved = np.cumsum(stay) - 1
             sym, word, rank, at = sym[stay], word[stay], rank[stay], at[stay]
             fresh = moved[spot]
-            touch = np.unique(np.concatenate((fresh, fresh[fresh > 0] - 1)))
+            touch = np.concatenate((fresh, fresh[fresh > 0] - 1))
             rank[touch], at[touch] = self._ranked(sym, word, touch)
-        return out
+        if not ended:
+            return [[] for _ in words]
+        word, sym = (np.concatenate(x) for x in zip(*ended))
+        sym = sym[np.argsort(word, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        return [sym[a:b] for a, b in zip([0, *ends], ends)]
 
     def _ranked(self, sym, word, where=None):
         where = np.arange(len(sym)) if where is None else where
@@ -185,6 +190,8 @@ class SentencePieceBPE:
         return spot[take], made[take]
 
     def _ids(self, symbols: list[int]) -> list[int]:
+        if symbols and min(symbols) >= 0 and max(symbols) < len(self.pieces):
+            return symbols
         out: list[int] = []
         for s in symbols:
             if 0 <= s < len(self.pieces):
@@ -202,16 +209,20 @@ class SentencePieceBPE:
     def _char(self, s: int) -> str:
         return next(c for c, i in self.symbol.items() if i == s)
 
-    def _learn(self, words: set[str]) -> None:
-        """Encode words into the cache, some at a time."""
-        if len(self._cache) + len(words) > CACHE_WORDS:
-            self._cache.clear()
-        todo = sorted(words)
+    def _learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        """Encodings of words that the cache lacks; the cache takes them up until it is full.
+
+        The common words come early, so a full cache keeps them."""
+        todo, out = sorted(words), {}
+        text, raw = self._text.__getitem__, self._bytes.__getitem__
         for at in range(0, len(todo), 50_000):
             part = todo[at : at + 50_000]
             for w, symbols in zip(part, self.merge(part)):
                 ids = self._ids(symbols)
-                self._cache[w] = (",".join(map(str, ids)), len(ids), b"".join(map(self._bytes.__getitem__, ids)))
+                out[w] = (",".join(map(text, ids)), len(ids), b"".join(map(raw, ids)))
+        if len(self._cache) < CACHE_WORDS:
+            self._cache.update(out)
+        return out
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -219,20 +230,17 @@ class SentencePieceBPE:
 
     def encode_joined(self, texts: list[str | None]) -> list[tuple[str, int]]:
         """(ids joined by commas, number of ids) of each text."""
-        out, cut = [], [self.words(t) for t in texts]
-        at = 0
+        cut = [self.words(t) for t in texts]
+        out, cache, at = [], self._cache, 0
         while at < len(cut):
             to, new = at, set()
-            while to < len(cut) and len(new) < CACHE_WORDS // 2:
-                new.update(w for w in cut[to] if w not in self._cache)
+            while to < len(cut) and len(new) < CACHE_WORDS // 4:
+                new.update([w for w in set(cut[to]) if w not in cache])
                 to += 1
-            before = self._cache
-            if len(before) + len(new) > CACHE_WORDS:
-                new = set().union(*cut[at:to])
-            self._learn(new)
-            get = self._cache.__getitem__
+            fresh = self._learn(new)
+            known, rest = cache.get, fresh.get
             for ws in cut[at:to]:
-                got = list(map(get, ws))
+                got = [known(w) or rest(w) for w in ws]
                 out.append((",".join([g[0] for g in got]), sum([g[1] for g in got])))
             at = to
         return out
