@@ -21,9 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, shared_table
+from .common import WORD, by_place, shared_table
 
-BINS = 65536
+BINS = 4096
 WEIGHTS = (5, 2, 1)
 
 
@@ -110,14 +110,15 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     once more if at least half of its words are taken beyond them (texts are never cut).
 
     Documents without words are part of complete epochs only."""
+    names = docs.columns
+    docs, (id_col, text_col, source_col) = by_place(docs, id_col, text_col, source_col)
     got = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
     times = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     # equal rows (same id, source and text) may differ in what they give at the edge: each gets the least
     n = got.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), "_h").agg(F.min(times).alias("_times"))
     left = docs.withColumn("_hash", F.xxhash64(text_col))
     on = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_hash") == F.col("_h"))
-    names = [c for c in docs.columns]
-    return left.join(n, on).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*names)
+    return left.join(n, on).where("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns).toDF(*names)
 
 
 ORACLE = """
