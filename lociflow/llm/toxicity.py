@@ -16,6 +16,7 @@ labelled rows of both kinds every score is 0.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -112,7 +113,7 @@ def votes(model: Model, markers, words: set[str]) -> np.ndarray:
 def _distinct(rows: list[tuple[str, int]]) -> list[tuple[set[str], int, float]]:
     """(words, label, weight): rows that share their four smallest word hashes are near copies
     and share a weight of one."""
-    sets = [set(t.split(" ")) if t else set() for t, _ in rows]
+    sets = [set(map(sys.intern, t.split(" "))) if t else set() for t, _ in rows]  # one object per word
     marks = [tuple(sorted(zlib.crc32(w.encode()) for w in s)[:4]) for s in sets]
     many = Counter(marks)
     return [(s, y, 1.0 / many[m]) for s, m, (_, y) in zip(sets, marks, rows)]
