@@ -10,7 +10,7 @@ single markers and the voters, which scores any text.
 
 A text is its set of lower-case words (runs of letters, digits and underscores), so length
 does not matter; null and empty texts are scored as texts without any marker.  Without
-labelled rows of both kinds every score is 0.
+labelled rows of both kinds, or without any marker that they support, every score is 0.
 """
 
 from __future__ import annotations
@@ -193,6 +193,8 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     if len({y for _, y, _ in data}) < 2:
         return Model()
     model = _choose(data)
+    if not model.size:
+        return Model()
     x = np.array([model.row(words) for words, _, _ in data])
     y, weight = np.array([y for _, y, _ in data]), np.array([w for _, _, w in data])
     posterior, _ = label_model(x[:, model.size :], y, weight)
