@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import header as H
 from ..frame import PairsFrame
+from ..sources.bam import read_bam
 from ..schema import FIELD_SEP, NO_CHROM, NO_SAM, RECORD_SEP, STANDARD, schema_of
 from .rows import flip
 
@@ -27,7 +28,9 @@ _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
 def read_sam(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """(header lines, one row per alignment line); the header is read on the driver."""
+    """(header lines, one row per alignment line) of SAM text, or of BAM files by extension."""
+    if path.lower().endswith(".bam"):
+        return read_bam(spark, path)
     head = [r.value for r in spark.read.text(path).where(F.col("value").rlike("^@(HD|SQ|RG|PG|CO)\t")).collect()]
     lines = spark.read.text(path).where(~F.col("value").rlike("^@(HD|SQ|RG|PG|CO)\t"))
     return head, lines.select(F.substring_index("value", "\t", 1).alias("readID"), F.col("value").alias("line"))

@@ -131,6 +131,49 @@ def test_sam(spark, tmp_path):
     assert sorted(r.walk_pair_type for r in wide) == ["E1_R1-2", "R1", "R1-2"]
 
 
+def bam_of(sam):
+    """The alignments as BAM: two gzip members, the second starting within a record."""
+    import gzip
+    import struct
+
+    lines = sam.splitlines()
+    head = [x for x in lines if x.startswith("@")]
+    refs = [x.split("\t")[1][3:] for x in head]
+    text = "\n".join(head).encode() + b"\n"
+    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
+    for r in refs:
+        out += struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", 1000)
+    import re
+
+    for x in lines[len(head) :]:
+        f = x.split("\t")
+        cigar = [(int(n), "MIDNSHP=X".index(o)) for n, o in re.findall(r"(\d+)([A-Z=])", f[5])]
+        ref = refs.index(f[2]) if f[2] in refs else -1
+        body = struct.pack("<iiBBHHHiiii", ref, int(f[3]) - 1, len(f[0]) + 1, int(f[4]), 0, len(cigar), int(f[1]), 3, -1, -1, 0)
+        body += f[0].encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in cigar) + b"\x12\x40" + bytes([1, 2, 3])
+        body += b"NMC\x05" + b"XAZab\0" + b"ZBBs" + struct.pack("<i2h", 2, -1, 7)
+        out += struct.pack("<i", len(body)) + body
+    cut = len(out) // 2
+    return gzip.compress(out[:cut]) + gzip.compress(out[cut:])
+
+
+def test_bam_reads_as_its_sam(spark, tmp_path):
+    from lociflow.sources.bam import sam_lines
+
+    data = bam_of(SAM)
+    lines = [x for _, x in sam_lines(data)]
+    want = [x.split("\t") for x in SAM.splitlines() if not x.startswith("@")]
+    assert [x.split("\t")[:6] for x in lines] == [x[:6] for x in want]
+    assert lines[0].split("\t")[9:] == ["ACG", "\"#$", "NM:i:5", "XA:Z:ab", "ZB:B:s,-1,7"]
+    with pytest.raises(ValueError):
+        list(sam_lines(data[:-30]))
+    for name, raw in (("x.bam", data), ("x.sam", SAM.encode())):
+        with open(tmp_path / name, "wb") as f:
+            f.write(raw)
+    get = lambda n: sorted((r.readID, r.chrom1, r.pos1, r.chrom2, r.pos2, r.pair_type) for r in parse(spark, str(tmp_path / n), {"chr1": 0}).df.collect())
+    assert get("x.bam") == get("x.sam") and len(get("x.sam")) == 4
+
+
 def test_streams(spark, pairs, tmp_path):
     from lociflow.operators import flip, select
     from lociflow.streaming import drop_exact, running_stats, stream_parquet
