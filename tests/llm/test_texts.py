@@ -170,8 +170,6 @@ def test_line_dedup(spark):
     assert got.columns == [*df.columns, "_dropped"] and got.count() == df.count()
     by = {r.doc_id: r for r in got.collect()}
     assert foot.format(0) in by[0].text
-    for i in range(1, 6):
-        assert by[i].text.split("\n")[1:] == ["short"] or i in (1, 2, 3, 4, 5) and by[i].doc_id == i
     assert all(by[20 + i].text == copies[0][1] and by[20 + i]._dropped == 0 for i in range(5))
     assert line_dedup.dedup_lines(awkward(spark, [])).count() == 0
 
