@@ -131,12 +131,18 @@ def _choose(rows) -> Model:
         # label 1 first: of label 0 only what can still be a marker is counted
         for f in seen if y else seen & counts[1].keys():
             counts[y][f] += weight
+    # the commonest word behind each start: a start that one word carries says nothing beyond it
+    top: Counter = Counter()
+    for w in [f for f in counts[1] if not f.endswith("*")]:
+        for k in STARTS:
+            if len(w) > k:
+                top[w[:k] + "*"] = max(top[w[:k] + "*"], counts[1][w])
     least = max(2.0, 0.006 * total[1])
     strong = 14.0  # of n * ln(rate ratio), which grows with the number of rows behind it
     model = Model()
     for f, n in sorted(counts[1].items()):
         rate, other = n / total[1], (counts[0][f] + 0.3) / total[0]
-        if n >= least and rate >= 8 * other and n * np.log(rate / other) >= strong:
+        if n >= least and 2 * top[f] <= n and rate >= 8 * other and n * np.log(rate / other) >= strong:
             if f.endswith("*"):
                 model.starts[f[:-1]] = len(model.starts)
                 model.start_kind.append(STARTS.index(len(f) - 1))
@@ -198,7 +204,7 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     x = np.array([model.row(words) for words, _, _ in data])
     y, weight = np.array([y for _, y, _ in data]), np.array([w for _, _, w in data])
     posterior, _ = label_model(x[:, model.size :], y, weight)
-    model.weights, model.bias = _logistic(x, posterior, weight, 1.0, 15)
+    model.weights, model.bias = _logistic(x, posterior, weight, 0.2, 15)
     return model
 
 

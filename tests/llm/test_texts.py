@@ -239,6 +239,15 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in toxicity.score(docs, none, keep=["doc_id"]).collect())
 
 
+def test_beginnings_need_several_words():
+    """A beginning that one toxic word carries is no marker: clean words share it.  One toxic word alone suffices."""
+    toxic = [(f"loser moron filler{i}", 1) for i in range(60)] + [(f"zzub{i} filler{i}", 1) for i in range(60)] + [(f"loser other{i}", 1) for i in range(20)]
+    model = toxicity.learn(sorted(toxic + [(f"filler{i} other{i} losing" if i % 40 == 0 else f"filler{i} other{i}", 0) for i in range(400)]))
+    assert "zzub" in model.starts and not [s for s in model.starts if s.startswith("los")]
+    assert model.score("losers of an old lost game, other5") < 0.5 <= model.score("filler5 loser other7")
+    assert model.score("zzub999 filler5") >= 0.5
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(0)
     y = (rng.random(2000) < 0.3).astype(int)
