@@ -136,17 +136,18 @@ def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = up
 
 
-def pair_blocks(rows: DataFrame, key: str, ident: str, limit: int) -> DataFrame:
+def pair_blocks(rows: DataFrame, key: str, ident: str, limit: int, weight: str | None = None) -> DataFrame:
     """Deal the rows of each key into blocks so that any two rows of a key meet in one group.
 
     Keys of up to ``limit`` rows are one group.  A larger key is cut into
     ceil(rows / limit) blocks by the hash of ``ident``; each pair of blocks is a group of
     its own, so no group holds more than about two blocks.  Adds lo, hi (the group within
     the key) and blk (the row's block): rows of a group with lo < hi need comparing only
-    across its blocks.  Only the large keys are joined to the rows; their table is
+    across its blocks.  With ``weight``, a column's sum takes the place of the number of
+    rows.  Only the large keys are joined to the rows; their table is
     written first, so Spark knows its size and broadcasts it or not.
     """
-    n = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    n = rows.groupBy(key).agg((F.sum(weight) if weight else F.count("*")).alias("_n")).where(F.col("_n") > limit)
     hot = shared_table(n.withColumn("_b", F.ceil(F.col("_n") / limit).cast("int")).select(key, "_b"), "hot-keys")
     cut = rows.join(hot, key, "left").withColumn("_b", F.coalesce("_b", F.lit(1)))
     cut = cut.withColumn("blk", F.pmod(F.xxhash64(ident), F.col("_b")).cast("int"))

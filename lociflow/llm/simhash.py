@@ -18,7 +18,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_place, components, local_components, map_text, pair_blocks, shared_table
@@ -28,6 +28,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 SEED = 42
 #: Rows of one hot block compared in one call.
 BLOCK_ROWS = 4096
+#: Shingles of one block where candidate groups are compared exactly (8 bytes each); a document counts as some more.
+BLOCK_SHINGLES, ROW_SHINGLES = 1 << 20, 256
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -68,14 +70,14 @@ def fingerprint(h: np.ndarray, words: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, distinct: bool = False, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, fp, sig) per row: fp the first 64 bits as long, sig all bits as binary (big-endian)."""
+    """(id, h, fp, sig) per row: h the text's hash, fp the first 64 bits as long, sig all bits as binary (big-endian)."""
 
     def compute(texts):
         hashes = (shingle_hashes(t, width) for t in texts)
         a = np.array([fingerprint(np.unique(h) if distinct else h, words) for h in hashes], np.uint64).reshape(len(texts), words)
         return a[:, 0].copy().view(np.int64), [x.tobytes() for x in a.astype(">u8")]
 
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     return map_text(base, "text", compute, "fp long, sig binary")
 
 
@@ -86,10 +88,10 @@ def pigeonhole_keys(bits: int) -> list[list[int]]:
     return [np.concatenate(c).tolist() for c in itertools.combinations(blocks, 2)]
 
 
-def spread_keys(parts: int, chosen: int, n_keys: int) -> list[list[int]]:
-    """n_keys sets of `chosen` of `parts` equal blocks, drawn evenly: for pairs beyond what a
-    full pigeonhole can cover, each differing bit spoils one block only."""
-    blocks = np.array_split(np.arange(64), parts)
+def spread_keys(parts: int, chosen: int, n_keys: int, bits: int = 64) -> list[list[int]]:
+    """n_keys sets of `chosen` of `parts` equal blocks of a signature, drawn evenly: for pairs
+    beyond what a full pigeonhole can cover, each differing bit spoils one block only."""
+    blocks = np.array_split(np.arange(bits), parts)
     rng, use, keys = np.random.default_rng(7), np.zeros(parts), set()
     while len(keys) < n_keys:
         pick = tuple(sorted(np.lexsort((rng.random(parts), use))[:chosen].tolist()))
@@ -101,17 +103,25 @@ def spread_keys(parts: int, chosen: int, n_keys: int) -> list[list[int]]:
     return [np.concatenate([blocks[b] for b in k]).tolist() for k in sorted(keys)]
 
 
+def _key(i: int, positions: list[int]) -> Column:
+    """Hash of key number i: the signature's bits at these positions (0: the first bit of fp)."""
+    masks: dict[int, int] = {}
+    for p in positions:
+        masks[p // 64] = masks.get(p // 64, 0) | 1 << (63 - p % 64)
+    words = {0: F.col("fp")}
+    for k in masks:
+        words.setdefault(k, F.conv(F.hex(F.substring("sig", 8 * k + 1, 8)), 16, -10).cast("long"))
+    signed = {k: m - (1 << 64) if m >> 63 else m for k, m in masks.items()}
+    return F.xxhash64(F.lit(i), *[words[k].bitwiseAND(F.lit(m)) for k, m in sorted(signed.items())])
+
+
 def _close_pairs(nodes: DataFrame, keys: list[list[int]], max_bits: int, max_sig_bits: int | None) -> DataFrame:
     """Edges (a, b) that connect all nodes linked by a pair within max_bits; nodes: (rep, fp, sig).
 
     Every node goes to one bucket per key; a task reads its buckets sorted and compares
     within them in numpy.  Of a bucket's links only a star per local component is
     returned, never all pairs."""
-    masks = [sum(1 << (63 - p) for p in k) for k in keys]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    key = F.explode(
-        F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    ).alias("key")
+    key = F.explode(F.array(*[_key(i, k) for i, k in enumerate(keys)])).alias("key")
     dealt = pair_blocks(nodes.select("rep", "fp", "sig", key), "key", "fp", BLOCK_ROWS)
     dealt = dealt.withColumn("group", F.xxhash64("key", "lo", "hi"))
     dealt = dealt.repartition("group").sortWithinPartitions("group", "rep")
@@ -144,6 +154,13 @@ def _close_pairs(nodes: DataFrame, keys: list[list[int]], max_bits: int, max_sig
         own = np.flatnonzero(label != np.arange(len(pdf)))
         return pd.DataFrame({"a": rep[own], "b": rep[label[own]]}).drop_duplicates()
 
+    rows = dealt.select("group", "lo", "hi", "blk", "rep", "fp", "sig")
+    return rows.mapInPandas(_whole_groups(links), "a long, b long").distinct()
+
+
+def _whole_groups(links):
+    """For mapInPandas over rows sorted by group: calls links with whole groups, several at a time."""
+
     def run(batches):
         rest = None
         for pdf in batches:
@@ -158,7 +175,63 @@ def _close_pairs(nodes: DataFrame, keys: list[list[int]], max_bits: int, max_sig
         if rest is not None and len(rest) > 1:
             yield links(rest)
 
-    return dealt.select("group", "lo", "hi", "blk", "rep", "fp", "sig").mapInPandas(run, "a long, b long").distinct()
+    return run
+
+
+def alike_components(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set of distinct hashes the first of those it is linked with: Jaccard >= least, chains count.
+
+    A search from each open set in turn that compares with sets not reached yet only.
+    Empty sets are linked with nothing."""
+    sizes = np.array([len(x) for x in sets])
+    label, rest = np.arange(len(sets)), np.flatnonzero(sizes)
+    if len(rest) < 2:
+        return label
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    mark = np.zeros(flat.max() + 1, bool)
+    while len(rest):
+        seed, rest = rest[0], rest[1:]
+        flat, todo = np.concatenate([own[i] for i in rest]) if len(rest) else None, [seed]
+        while todo and len(rest):
+            x = todo.pop()
+            mark[own[x]] = True
+            both = np.add.reduceat(mark[flat], np.cumsum(sizes[rest]) - sizes[rest], dtype=np.int64)
+            mark[own[x]] = False
+            near = both >= least * (sizes[x] + sizes[rest] - both) - 1e-9
+            if near.any():
+                label[rest[near]] = seed
+                todo.extend(rest[near].tolist())
+                flat, rest = flat[np.repeat(~near, sizes[rest])], rest[~near]
+    return label
+
+
+def _alike_edges(docs: DataFrame, nodes: DataFrame, width: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) that connect nodes of one candidate group whose shingle sets are alike; nodes: (rep, rep_h, group_of).
+
+    Every two nodes of a group meet in a task; groups of many shingles are cut into blocks."""
+    several = shared_table(nodes.groupBy("group_of").agg(F.count("*").alias("_c")).where("_c > 1").select("group_of"), "groups")
+    of = shared_table(nodes.join(several, "group_of").select("rep", "rep_h", "group_of"), "members")
+    texts = docs.select(F.col(id_col).alias("rep"), F.xxhash64(text_col).alias("rep_h"), F.col(text_col).alias("text"))
+
+    def compute(part):
+        h = [np.unique(shingle_hashes(t, width)) for t in part]
+        return [x.tobytes() for x in h], [len(x) + ROW_SHINGLES for x in h]
+
+    sets = shared_table(map_text(texts.join(of, ["rep", "rep_h"]).select("rep", "group_of", "text"), "text", compute, "shingles binary, cost long"), "shingle-sets")
+    dealt = pair_blocks(sets, "group_of", "rep", BLOCK_SHINGLES, "cost").withColumn("group", F.xxhash64("group_of", "lo", "hi"))
+    dealt = dealt.select("group", "rep", "shingles").repartition("group").sortWithinPartitions("group", "rep")
+
+    def links(pdf: pd.DataFrame):
+        group, rep, out = pdf["group"].to_numpy(), pdf["rep"].to_numpy(), []
+        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
+        for lo, hi in zip(start, [*start[1:], len(pdf)]):
+            label = alike_components([np.frombuffer(b, np.uint64) for b in pdf["shingles"].iloc[lo:hi]], least)
+            moved = np.flatnonzero(label != np.arange(hi - lo))
+            out.append(np.stack((rep[lo + moved], rep[lo + label[moved]]), 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return dealt.mapInPandas(_whole_groups(links), "a long, b long").distinct()
 
 
 def simhash_components(
@@ -171,29 +244,37 @@ def simhash_components(
     distinct: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    least: float | None = None,
 ) -> DataFrame:
     """One row per document: id_col, fp, sig, component_id (smallest id reachable by links).
 
     Links join documents whose fp differ in at most max_bits bits and, if max_sig_bits is
     given, whose `words` * 64 signature bits differ in at most so many.  With the default
-    keys no link is lost (pigeonhole).  distinct: repeated shingles count once.  ids must be integers."""
+    keys no link is lost (pigeonhole).  distinct: repeated shingles count once.  ids must be integers.
+
+    least: the groups found are candidates only; of their documents those are linked, exactly,
+    that share a Jaccard similarity of at least so much of their distinct shingles."""
     fps = shared_table(fingerprints(docs, width, words, distinct, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp", "sig").agg(F.min("id").alias("rep"))
-    nodes = shared_table(nodes, "nodes")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h")))
+    nodes = shared_table(fps.groupBy("fp", "sig").agg(first.alias("_f")).select("fp", "sig", F.col("_f.id").alias("rep"), F.col("_f.h").alias("rep_h")), "nodes")
     edges = _close_pairs(nodes.where("rep is not null"), keys or pigeonhole_keys(max_bits), max_bits, max_sig_bits)
     comp = components(edges).select(F.col("id").alias("rep"), "component")
+    if least is not None:
+        grouped = nodes.join(comp, "rep").select("rep", "rep_h", F.col("component").alias("group_of"))
+        comp = components(_alike_edges(docs, grouped, width, least, id_col, text_col)).select(F.col("id").alias("rep"), "component")
     named = nodes.join(comp, "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, ["fp", "sig"]).select(F.col("id").alias(id_col), "fp", "sig", "component_id")
 
 
 def near_duplicates(docs: DataFrame, **names) -> DataFrame:
-    """Components of documents alike in about 0.8 or more of their five-word shingles.
-
-    At a Jaccard similarity of 0.8 about 15 % of SimHash bits differ; a 64-bit fingerprint
-    differs in up to some 16 bits then, so candidates agree on 4 of 16 blocks (64 block
-    sets), and 256 signature bits of the distinct shingles settle the pair: at most 47 may
-    differ (0.8 means 39 on average, give or take 6)."""
-    return simhash_components(docs, width=5, max_bits=18, keys=spread_keys(16, 4, 64), words=4, max_sig_bits=47, distinct=True, **names)
+    """Components of documents that share a Jaccard similarity of 0.8 or more of their distinct five-word shingles.
+
+    At 0.8 about 15 % of SimHash bits differ, of 256 39 on average, give or take 6.
+    Candidates agree on 4 of 64 blocks of 4 bits (64 such block sets, which miss some 2 %
+    of pairs at 0.8 and fewer above) and differ in at most 20 of the first 64 bits and 58 of
+    all.  Each group of candidates is then compared exactly, so nothing below 0.8 is linked."""
+    keys = spread_keys(64, 4, 64, 256)
+    return simhash_components(docs, width=5, max_bits=20, keys=keys, words=4, max_sig_bits=58, distinct=True, least=0.8, **names)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

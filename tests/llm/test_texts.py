@@ -102,6 +102,47 @@ def test_keep_one(spark):
     assert {0, 6, 12, 18} <= set(ids) and simhash.keep_one(awkward(spark, [])).count() == 0
 
 
+def jaccard_components(texts, ids, least, width=5):
+    ws = [words((t or "").lower()) for t in texts]
+    sets = [frozenset(" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset() for w in ws]
+    lab = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                lab = [min(lab[i], lab[j]) if x in (lab[i], lab[j]) else x for x in lab]
+    return [min(i for i, y in zip(ids, lab) if y == x) for x in lab]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1500])
+def test_near_duplicates_equal_exact_similarity(spark, monkeypatch, block):
+    """Copies with ever more words changed: those below 0.8 are linked through others only; blocks change nothing."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(8)
+    rows = [(900, None, "en", "s", 0), (901, " ", "en", "s", 0), (902, "one two", "en", "s", 0), (903, "one  Two", "en", "s", 0)]
+    for g in range(6):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 4000, 300)]
+        for k in range(12):
+            w = list(base)
+            for p in rng.choice(300, k * 2, replace=False):
+                w[p] = f"x{rng.integers(0, 10**6)}"
+            rows.append((g * 20 + k, " ".join(w), "en", "s", 0))
+    docs = awkward(spark, rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    ids = [r[0] for r in rows]
+    assert got == dict(zip(ids, jaccard_components([r[1] for r in rows], ids, 0.8)))
+    assert len(set(got.values())) > 12  # far copies are not linked
+
+
+def test_alike_components_equal_brute_force():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(60)]
+    near = [[j for j, b in enumerate(sets) if i == j or len(a) and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))] for i, a in enumerate(sets)]
+    lab = list(range(60))
+    for _ in range(60):
+        lab = [min(lab[j] for j in near[i]) for i in range(60)]
+    assert simhash.alike_components(sets, 0.5).tolist() == lab
+
+
 def test_near_copies_of_eight_tenths_are_found(spark):
     rng = np.random.default_rng(3)
     rows, pairs = [], []
