@@ -221,6 +221,19 @@ def test_line_dedup_drops_all_but_the_first(spark):
     assert got == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
 
 
+def own(i, n=12):
+    """n words that no other i has."""
+    return " ".join(f"w{'abcdefghij'[i]}{'klmnopqrstuvwxyz'[j]}" for j in range(n))
+
+
+def test_line_dedup_by_documents_counts_inner_lines(spark):
+    passage = "A first line of it\n\nAnd then the second line\nAnd a third"
+    rows = [(i, f"{own(i)}\n{passage}\n{own(i + 3)}", "en", "s", 0) for i in range(3)]
+    copies = [(20 + i, f"{own(7)}\nA copied line that stands here\n{own(8)}{' x' * i}", "en", "s", 0) for i in range(5)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows + copies), by_documents=True).collect()}
+    assert got == {r[0]: r[1] for r in rows[:1] + copies} | {i: f"{own(i)}\n\n{own(i + 3)}" for i in (1, 2)}
+
+
 # --- SentencePiece
 
 
