@@ -234,6 +234,14 @@ def test_line_dedup_by_documents_counts_inner_lines(spark):
     assert got == {r[0]: r[1] for r in rows[:1] + copies} | {i: f"{own(i)}\n\n{own(i + 3)}" for i in (1, 2)}
 
 
+def test_line_dedup_by_documents_takes_long_lines_from_two_on(spark):
+    long = "A line of many words that stands in two documents alone"
+    rows = [(i, f"{own(i)}\n{long}\nA short line too", "en", "s", 0) for i in range(2)]
+    copies = [(20 + i, f"{own(7)}\nA copied line of many words that stands here too\n{own(8)}{' x' * i}", "en", "s", 0) for i in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows + copies), by_documents=True).collect()}
+    assert got == {r[0]: r[1] for r in rows[:1] + copies} | {1: f"{own(1)}\nA short line too"}
+
+
 # --- SentencePiece
 
 
