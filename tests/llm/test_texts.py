@@ -242,6 +242,15 @@ def test_line_dedup_by_documents_takes_long_lines_from_two_on(spark):
     assert got == {r[0]: r[1] for r in rows[:1] + copies} | {1: f"{own(1)}\nA short line too"}
 
 
+def test_line_dedup_keeps_tables_and_numbered_lines(spark):
+    steps = "\n".join(f"{own(i)}\nStep {i} done now" for i in range(4))
+    numbers = [(10 + i, f"{own(5 + i)}\n{i} {i + 1} {i + 2}", "en", "s", 0) for i in range(4)]
+    rows = [(0, steps, "en", "s", 0), (1, steps, "en", "s", 0), (2, steps + " x", "en", "s", 0), *numbers]
+    for rule in (False, True):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows), by_documents=rule).collect()}
+        assert got == {r[0]: r[1] for r in rows}
+
+
 # --- SentencePiece
 
 
