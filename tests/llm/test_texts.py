@@ -251,6 +251,13 @@ def test_line_dedup_keeps_tables_and_numbered_lines(spark):
         assert got == {r[0]: r[1] for r in rows}
 
 
+def test_line_dedup_without_blanks(spark):
+    line = "未经许可不得转载本网站的任何内容"
+    rows = [(i, f"{own(i)}\n{line}\nshort", "en", "s", 0) for i in range(4)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {i: f"{own(i)}\nshort" for i in (1, 2, 3)}
+
+
 # --- SentencePiece
 
 
