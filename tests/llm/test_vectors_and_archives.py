@@ -108,6 +108,25 @@ def test_neighbours(spark, monkeypatch):
     assert len(few) == 4  # ids 1, 2, 3 and the row that repeats 3
 
 
+def test_neighbours_recall_with_all_bits(spark, monkeypatch):
+    monkeypatch.setattr(mih, "SHARD", 500)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ok = [r for r in df.collect() if r.vec_id is not None and r.embedding and np.any(r.embedding)]
+    x = np.array([r.embedding for r in ok], dtype=float)
+    assert x.shape[1] == 64 and mih.RADIUS < 64 and len(x) > 3 * mih.SHARD
+    ids = [r.vec_id for r in ok]
+    got = collections.defaultdict(set)
+    for r in mih.nearest_neighbours(df, df.where("vec_id % 100 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = n = 0
+    for q in sorted(i for i in ids if i % 100 == 0):
+        d = ((x - x[ids.index(q)]) ** 2).sum(1)
+        best = {i for _, i in sorted((s, i) for s, i in zip(d, ids) if i != q)[:10]}
+        hit, n = hit + len(best & got[q]), n + len(best)
+    print("recall", hit / n, n)
+    assert n and hit >= 0.9 * n
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (5, 5)]
