@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,13 +118,36 @@ def page_of(head: dict[str, str], block: bytes) -> tuple | None:
     return (ident(head.get("warc-record-id")), head.get("warc-target-uri"), size, want or digest32(payload), kind, ident(head.get("warc-refers-to")), payload if kind == "response" else None)
 
 
+def _responses(digests: DataFrame) -> DataFrame:
+    """(d, top, n) of the payload digests that several rows have; rows without an id count too."""
+    equal = digests.groupBy("d").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    return shared_table(equal.where("n > 1 and top is not null"), "warc-responses")
+
+
+def _with_response(rows: DataFrame, equal: DataFrame, total: int) -> DataFrame:
+    """rows and the id of their payload's response (top).
+
+    Payloads of a thousandth of all rows or more, such as the empty one, are at most a
+    thousand: they are broadcast, and their rows are spread by url where the rest is joined
+    by digest."""
+    common = F.col("n") >= max(100, total // 1000)
+    hot = equal.where(common).select(F.col("d").alias("_hot"), F.col("top").alias("hot_top"))
+    rows = rows.join(F.broadcast(hot), F.col("d") == F.col("_hot"), "left").drop("_hot")
+    key = F.when(F.col("hot_top").isNull(), F.col("d")).otherwise(F.concat(F.lit("hot"), F.xxhash64("page_id", "url").cast("string")))
+    rest = equal.where(~common).select(F.col("d").alias("_d"), "top")
+    return rows.withColumn("_key", key).join(rest, F.col("_key") == F.col("_d"), "left").withColumn("top", F.coalesce("hot_top", "top")).drop("_key", "_d", "hot_top")
+
+
 def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """A shared table (archive string, data binary) holding one record per row of pages."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    """A shared table (archive string, data binary) holding one record per row of pages.
+
+    Which rows are responses is settled on digests alone, before any html moves."""
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("d"))
-    equal = rows.groupBy("d").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("d", "top")
-    rows = rows.join(equal, "d", "left")
+    equal = _responses(rows.select("page_id", "d"))
+    rows = _with_response(rows, equal, pages.count())
     refers = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
+    schema = "archive string, data binary"
 
     def run(batches):
         from uuid import NAMESPACE_URL, uuid5
@@ -131,11 +155,12 @@ def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="
         held, size, first = [warcinfo()], 0, None
 
         def archive():
-            return pd.DataFrame({"archive": [f"{uuid5(NAMESPACE_URL, str(first))}.warc.gz"], "data": [b"".join(held)]})
+            name = f"{uuid5(NAMESPACE_URL, str(first))}.warc.gz"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], names=["archive", "data"])
 
-        for pdf in batches:
-            for page_id, url, html, to in zip(pdf["page_id"].astype(object), pdf["url"], pdf["html"], pdf["refers"].astype(object)):
-                page_id, to = (None if pd.isna(x) else int(x) for x in (page_id, to))
+        for batch in batches:
+            # column by column as Python values: ids with nulls among them stay exact
+            for page_id, url, html, to in zip(*(c.to_pylist() for c in batch.columns)):
                 held.append(record(page_id, url, html.encode("utf-8", "surrogatepass"), to))
                 first = first or (page_id, url)
                 size += len(held[-1])
@@ -145,32 +170,37 @@ def write_archives(pages: DataFrame, id_col="page_id", url_col="url", html_col="
         if len(held) > 1:
             yield archive()
 
-    out = rows.select("page_id", "url", "html", refers.alias("refers")).mapInPandas(run, "archive string, data binary")
+    out = rows.select("page_id", "url", "html", refers.alias("refers")).mapInArrow(run, schema)
     return shared_table(out, "warc")
 
 
+_KINDS = pa.schema(
+    [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+)
+
+
 def read_archives(archives: DataFrame, data_col: str = "data", payloads: bool = True) -> DataFrame:
     """READ_SCHEMA rows of all response and revisit records, archive by archive."""
 
     def run(batches):
-        for pdf in batches:
-            for data in pdf["data"]:
-                rows = []
-                for head, block in read_records(data):
+        for batch in batches:
+            for data in batch.column(0):
+                rows, size = [], 0
+                for head, block in read_records(data.as_py()):
                     if (row := page_of(head, block)) is not None:
                         rows.append(row if payloads else (*row[:-1], None))
-                        if len(rows) >= 512:
-                            yield _frame(rows)
-                            rows = []
+                        size += len(block) if payloads else 0
+                        if len(rows) >= 512 or size >= ARCHIVE_BYTES:
+                            yield _batch(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield _frame(rows)
+                    yield _batch(rows)
 
-    return archives.select(F.col(data_col).alias("data")).mapInPandas(run, READ_SCHEMA)
+    return archives.select(F.col(data_col).alias("data")).mapInArrow(run, READ_SCHEMA)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in READ_SCHEMA.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KINDS)], schema=_KINDS)
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
