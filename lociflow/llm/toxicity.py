@@ -26,12 +26,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text
+from .common import map_text, shared_table
 
 #: Labelled rows to learn from, at most: of label 1, of label 0.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
 STARTS = (3, 4, 5, 6)
 LEXICONS = 6
+#: Penalties of the classifier to choose from, by cross-validation in so many parts of the rows learned from.
+PENALTIES, PARTS = (0.05, 0.2, 0.8), 2
 _WORD = re.compile(r"\w+")
 # fixed values: insults known beforehand
 KNOWN = frozenset(["idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "dumb", "ugly", "filthy", "trash"])
@@ -198,31 +200,66 @@ def learn(rows: list[tuple[str, int]]) -> Model:
     data = _distinct(rows)
     if len({y for _, y, _ in data}) < 2:
         return Model()
+    return _fitted(data, _penalty(data))
+
+
+def _prepared(data) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
+    """Markers chosen from data, its features, posterior labels and weights."""
     model = _choose(data)
-    if not model.size:
-        return Model()
     x = np.array([model.row(words) for words, _, _ in data])
     y, weight = np.array([y for _, y, _ in data]), np.array([w for _, _, w in data])
-    posterior, _ = label_model(x[:, model.size :], y, weight)
-    model.weights, model.bias = _logistic(x, posterior, weight, 0.2, 15)
+    return model, x, label_model(x[:, model.size :], y, weight)[0] if model.size else y, weight
+
+
+def _fitted(data, penalty: float) -> Model:
+    model, x, posterior, weight = _prepared(data)
+    if not model.size:
+        return Model()
+    model.weights, model.bias = _logistic(x, posterior, weight, penalty, 15)
     return model
 
 
+def _penalty(data) -> float:
+    """The penalty with the least log loss on labels left out, inside the rows to learn from.
+
+    Near copies share a part, as they share a weight; without both labels in each part the
+    middle one is taken."""
+    part = np.array([zlib.crc32(" ".join(sorted(words)[:8]).encode()) % PARTS for words, _, _ in data])
+    y, weight = np.array([y for _, y, _ in data]), np.array([w for _, _, w in data])
+    if any(len(set(y[part != k])) < 2 or not (part == k).any() for k in range(PARTS)):
+        return PENALTIES[len(PENALTIES) // 2]
+    loss = dict.fromkeys(PENALTIES, 0.0)
+    for k in range(PARTS):
+        model, x, posterior, w = _prepared([d for d, p in zip(data, part) if p != k])
+        if not model.size:
+            return PENALTIES[len(PENALTIES) // 2]
+        out = part == k
+        rest = np.array([model.row(words) for (words, _, _), o in zip(data, out) if o])
+        for penalty in PENALTIES:
+            weights, bias = _logistic(x, posterior, w, penalty, 15)
+            z = np.clip((rest @ weights + bias) * np.where(y[out] == 1, 1, -1), -30, 30)
+            loss[penalty] += float(weight[out] @ np.log1p(np.exp(-z)))
+    return min(PENALTIES, key=lambda p: (loss[p], p))
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN, id_col="doc_id", text_col="text", label_col="toxic") -> Model:
-    """Learn from at most toxic_rows + clean_rows labelled documents: those with the smallest
-    hashes of id.  Ids with several labels count as toxic if one of them is 1."""
+    """Learn from at most toxic_rows + clean_rows labelled texts: those with the smallest hashes
+    of id and text.  Ids with several labels count as toxic if one of them is 1; a text that
+    several rows of an id hold counts once.  Of each text its distinct words are gathered."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).alias("y"))
-    order = F.xxhash64(F.lit(31), "i")
-    pick = one.where("y = 1").orderBy(order, "i").limit(toxic_rows).unionByName(one.where("y = 0").orderBy(order, "i").limit(clean_rows))
-    # proven bound: toxic_rows + clean_rows ids
-    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(pick), "i")
+    texts = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    labelled = shared_table(texts.select("i", "h").join(one, "i").distinct(), "labelled")
+    order = F.xxhash64(F.lit(31), "i", "h")
+    pick = labelled.where("y = 1").orderBy(order, "i", "h").limit(toxic_rows).unionByName(labelled.where("y = 0").orderBy(order, "i", "h").limit(clean_rows))
+    # proven bound: toxic_rows + clean_rows rows
+    some = texts.join(F.broadcast(pick), ["i", "h"]).dropDuplicates(["i", "h"])
 
     def run(batches):
         for pdf in batches:
             words = [" ".join(sorted(set(_WORD.findall((t or "").lower())))) for t in pdf["t"]]
             yield pd.DataFrame({"t": words, "y": pdf["y"]})
 
-    got = some.select("t", F.col("y").cast("int").alias("y")).mapInPandas(run, "t string, y int").limit(2 * (toxic_rows + clean_rows)).collect()
+    got = some.select("t", F.col("y").cast("int").alias("y")).mapInPandas(run, "t string, y int").collect()  # bounded as above
     return learn(sorted((r.t, r.y) for r in got))
 
 
