@@ -13,9 +13,9 @@ Equal vectors are collapsed first and counted by their number.  Lists are cut in
 component are returned, so a group of thousands of near copies costs no more rows than it
 has vectors.
 
-Defined results: vectors that are null, zero or hold a null or non-finite component, and
-those of another length than most, link with nothing and are kept, alone in their
-component.  Rows that repeat an id are vectors of their own; null ids get no name for a
+Defined results: vectors that are null, zero or hold a null or non-finite component link
+with nothing and are kept, alone in their component; vectors of different lengths are never
+linked, each length has lists of its own.  Rows that repeat an id are vectors of their own; null ids get no name for a
 component and the count of links all the same.
 """
 
@@ -43,7 +43,7 @@ class Quantiser:
         rest = x - self.centres[nearest(x, self.centres)]
         self.cuts = np.array_split(np.arange(x.shape[1]), min(PARTS, x.shape[1]))
         self.books = [kmeans(rest[:, c], CODES, 6, seed + i + 1) for i, c in enumerate(self.cuts)]
-        self.apart = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 1e-12))
+        self.norms = (self.centres * self.centres).sum(1)
 
     def home(self, x: np.ndarray) -> np.ndarray:
         return nearest(x, self.centres)
@@ -57,8 +57,10 @@ class Quantiser:
 
     def visits(self, x: np.ndarray, home: np.ndarray, reach: float) -> list[np.ndarray]:
         """Lists whose cells come within `reach` of each vector (its own among them)."""
-        d = (self.centres * self.centres).sum(1) - 2 * x @ self.centres.T
-        gap = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.apart[home])
+        d = self.norms - 2 * x @ self.centres.T
+        # distances between centres, of the homes at hand only
+        apart = self.norms[home][:, None] + self.norms - 2 * self.centres[home] @ self.centres.T
+        gap = (d - d[np.arange(len(x)), home][:, None]) / (2 * np.sqrt(np.maximum(apart, 1e-12)))
         gap[np.arange(len(x)), home] = -1
         return [np.flatnonzero(g <= reach).astype(np.int32) for g in gap]
 
@@ -113,33 +115,32 @@ def vector_components(vectors: DataFrame, least: float = 0.95, margin: float = 0
     good = rows.where("ok")
     # equal vectors are one node, named by a number of its own: the hash of its content
     nodes = shared_table(good.groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("rep", F.xxhash64("v", F.lit(1))), "vectors")
-    drawn = sample(nodes, "rep", "v")
-    if not len(drawn):
+    sizes = nodes.groupBy(F.size("v")).count().collect()  # lengths of vectors: a few
+    if not sizes:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = lists or max(4, min(4096, math.isqrt(nodes.count())))
-    quantiser = rows.sparkSession.sparkContext.broadcast(Quantiser(drawn, lists))  # at most 4096 centroids
-    reach, dim = margin * math.sqrt(max(0.0, 2 - 2 * least)), drawn.shape[1]
+    made = {d: Quantiser(sample(nodes.where(F.size("v") == d), "rep", "v"), lists or max(4, min(4096, math.isqrt(n)))) for d, n in sizes}
+    quantiser = rows.sparkSession.sparkContext.broadcast(made)  # per length: at most 4096 centroids
+    reach = margin * math.sqrt(max(0.0, 2 - 2 * least))
 
     def assign(batches):
-        q = quantiser.value
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo : lo + 1024]
-                x = np.stack(part["v"].to_list())
+        pieces = (pdf.iloc[lo : lo + 1024] for pdf in batches for lo in range(0, len(pdf), 1024))
+        for piece in pieces:
+            for dim, part in piece.groupby(piece["v"].map(len)):
+                q, x = quantiser.value[dim], np.stack(part["v"].to_list())
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 home = q.home(unit)
                 codes, err = q.encode(unit, home)
                 lists_of = q.visits(unit, home, reach)
-                one = pd.DataFrame({"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "home": home.astype(np.int32), "vec": [r.astype("<f8").tobytes() for r in x]})
+                one = pd.DataFrame({"dim": dim, "rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "home": home.astype(np.int32), "vec": [r.astype("<f8").tobytes() for r in x]})
                 member = one.assign(cell=home.astype(np.int32), member=True, codes=[c.tobytes() for c in codes], err=err, lists=[t.tobytes() for t in lists_of])
                 visit = one.loc[np.repeat(np.arange(len(one)), [len(t) for t in lists_of])].assign(cell=np.concatenate(lists_of), member=False, codes=None, err=0.0, lists=None)
-                yield pd.concat([member, visit])[["cell", "member", "rep", "n", "home", "vec", "codes", "err", "lists"]]
+                yield pd.concat([member, visit])[["dim", "cell", "member", "rep", "n", "home", "vec", "codes", "err", "lists"]]
 
-    schema = "cell int, member boolean, rep long, n long, home int, vec binary, codes binary, err double, lists binary"
-    dealt = shared_table(nodes.where(F.size("v") == dim).select("rep", "n", "v").mapInPandas(assign, schema), "lists")
-    size = dealt.groupBy("cell").agg(F.count_if("member").alias("ms"), F.count_if(~F.col("member")).alias("vs"))
+    schema = "dim int, cell int, member boolean, rep long, n long, home int, vec binary, codes binary, err double, lists binary"
+    dealt = shared_table(nodes.select("rep", "n", "v").mapInPandas(assign, schema), "lists")
+    size = dealt.groupBy("dim", "cell").agg(F.count_if("member").alias("ms"), F.count_if(~F.col("member")).alias("vs"))
     cut = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
-    dealt = dealt.join(size.where("ms > 0").select("cell", cut("ms").alias("mb"), cut("vs").alias("vb")), "cell")
+    dealt = dealt.join(size.where("ms > 0").select("dim", "cell", cut("ms").alias("mb"), cut("vs").alias("vb")), ["dim", "cell"])
     own = F.when(F.col("member"), F.pmod("rep", F.col("mb"))).otherwise(F.pmod("rep", F.col("vb"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("member"), F.col("vb")).otherwise(F.col("mb")) - 1)
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
@@ -149,9 +150,9 @@ def vector_components(vectors: DataFrame, least: float = 0.95, margin: float = 0
         member = pdf["member"].to_numpy(bool)
         if not member.any() or member.all():
             return pd.DataFrame({"rep": [], "links": [], "root": []}).astype(np.int64)
-        return _block_links(key[0], pdf[member], pdf[~member], quantiser.value, least)
+        return _block_links(key[1], pdf[member], pdf[~member], quantiser.value[key[0]], least)
 
-    found = shared_table(dealt.groupBy("cell", "x", "y").applyInPandas(compare, "rep long, links long, root long"), "links")
+    found = shared_table(dealt.groupBy("dim", "cell", "x", "y").applyInPandas(compare, "rep long, links long, root long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = nodes.join(links, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")

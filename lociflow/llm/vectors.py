@@ -27,7 +27,10 @@ def sample(rows: DataFrame, id_col: str, vec_col: str, limit: int = SAMPLE) -> n
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
+    """Number of the closest centre to each row, in blocks of bounded size."""
+    own, step = (centres * centres).sum(1), max(1, (1 << 22) // len(centres))
+    parts = [(own - 2 * x[lo : lo + step] @ centres.T).argmin(1) for lo in range(0, len(x), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
