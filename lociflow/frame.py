@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import header as H
 from .schema import NO_CHROM
+from .shared import shared_table
 
 
 @dataclass(frozen=True)
@@ -38,15 +39,22 @@ def mapped() -> Column:
     return (F.col("chrom1") != NO_CHROM) & (F.col("chrom2") != NO_CHROM)
 
 
+def number_in_order(ordered: DataFrame, rid: str = "rid") -> DataFrame:
+    """rid = 0, 1, 2 ... in the order that a sorted DataFrame has.
+
+    The result is written once with each row's place in its partition; a partition's rows
+    are then shifted by the sizes of those before, a table of one row per partition."""
+    spark = ordered.sparkSession
+    rows = shared_table(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = {r[0]: r[1] for r in sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0))).collect()}
+    starts = F.broadcast(spark.createDataFrame(list(shift.items()) or [(0, 0)], "_part long, _shift long"))  # a row per partition
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_shift")
+    return rows.withColumn("_part", F.shiftright("_at", 33)).join(starts, "_part").select(*ordered.columns, place.alias(rid))
+
+
 def number_rows(df: DataFrame, order: list[str], rid: str = "rid") -> DataFrame:
-    """rid = 0, 1, 2 ... in the order of `order`, without one task seeing all rows.
-
-    Rows are numbered within the groups of the first two columns and shifted by the sizes
-    of the groups before; the table of sizes has a row per group."""
-    key = order[:2]
-    sizes = df.groupBy(*key).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*[F.col(k).alias(f"_{k}") for k in key], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    own = F.row_number().over(Window.partitionBy(*key).orderBy(*order[2:] or order))
-    on = [F.col(k) == F.col(f"_{k}") for k in key]
-    return df.withColumn("_own", own).join(shifts, on).withColumn(rid, F.col("_own") - 1 + F.col("_shift")).drop("_own", "_shift", *[f"_{k}" for k in key])
+    """rid = 0, 1, 2 ... in the order of `order`: one range-partitioned sort, no task sees all rows."""
+    return number_in_order(df.orderBy(*order), rid)
+

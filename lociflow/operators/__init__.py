@@ -1,4 +1,4 @@
-"""Operators on pairs: each maps PairsFrames to PairsFrames (or tables) without running anything."""
+"""Operators on pairs: each maps PairsFrames to PairsFrames (or tables); few of them run a job of their own."""
 
 from .coverage import coverage, filter_by_coverage
 from .dedup import dedup

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import header as H
-from ..frame import PairsFrame, number_rows
+from ..frame import PairsFrame, number_in_order
 from ..operators import (
-    by_tile, concat, coverage, dedup, filter_by_coverage, flip, mark_duplicates, merge_stats, phase, remove_columns, restrict,
-    sample, scaling, select, split_pairs, split_sam, stats, subset_chroms,
+    by_tile, concat, coverage, dedup, filter_by_coverage, flip, mark_duplicates, merge, merge_stats, phase, remove_columns, restrict,
+    sample, scaling, select, sort, split_pairs, split_sam, stats, subset_chroms,
 )
 from ..operators.scaling import distance_edges
 from ..schema import STANDARD
@@ -40,21 +40,19 @@ def query(name: str, oracle: str | None = None, pairs: str = PAIRS):
 # --- order
 
 
-def _places(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Row numbers in an order: how a sorted result is compared."""
-    return number_rows(df, keys, "place")
+def _places(p: PairsFrame) -> DataFrame:
+    """readID and place of the rows as the operator put them: how an order is compared."""
+    return number_in_order(p.df.select("readID"), "place")
 
 
 @query("sort_default", "select readID, (row_number() over (order by chrom1, chrom2, pos1, pos2, pair_type, rid) - 1)::bigint as place from pairs")
 def _sort(spark, sf):
-    p = numbered(spark, sf)
-    return _places(p.df, ["chrom1", "chrom2", "pos1", "pos2", "pair_type", "rid"]).select("readID", "place")
+    return _places(sort(numbered(spark, sf)))
 
 
 @query("sort_extra_col", "select readID, (row_number() over (order by chrom1, chrom2, pos1, pos2, pair_type, strand2, rid) - 1)::bigint as place from pairs")
 def _sort_extra(spark, sf):
-    p = numbered(spark, sf)
-    return _places(p.df, ["chrom1", "chrom2", "pos1", "pos2", "pair_type", "strand2", "rid"]).select("readID", "place")
+    return _places(sort(numbered(spark, sf), ["strand2"]))
 
 
 def _halves(spark, sf) -> list[PairsFrame]:
@@ -67,8 +65,7 @@ _HALVES = "h as (select *, case when strand2 = '+' then 0 else 1 end as src from
 
 @query("merge_two", f", {_HALVES} select readID, (row_number() over (order by chrom1, chrom2, pos1, pos2, pair_type, src, rid) - 1)::bigint as place from h")
 def _merge(spark, sf):
-    # merge = concat + order by keys, then (input, place); the places are what is compared
-    return _places(concat(_halves(spark, sf)).df, ["chrom1", "chrom2", "pos1", "pos2", "pair_type", "rid"]).select("readID", "place")
+    return _places(merge(_halves(spark, sf)))
 
 
 @query("concat_two", f", {_HALVES} select readID, src from h")

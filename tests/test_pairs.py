@@ -155,7 +155,7 @@ def test_select_options(spark):
 def test_dedup_equals_brute_force(spark, radius, method):
     rows = planted()
     want = brute_keepers(rows, radius, method)
-    d = dedup(frame(spark, rows), radius, method, keep_parent_id=True, groups=5)
+    d = dedup(frame(spark, rows), radius, method, keep_parent_id=True, tile=16)
     got = {r.rid: r.keeper for r in d.classed.where("is_mapped").collect()}
     assert got == want
     assert d.unmapped.df.count() == 20 and d.pairs.columns == STANDARD
