@@ -222,15 +222,15 @@ def test_line_dedup_drops_all_but_the_first(spark):
 
 
 def own(i, n=12):
-    """n words that no other i has."""
-    return " ".join(f"w{'abcdefghij'[i]}{'klmnopqrstuvwxyz'[j]}" for j in range(n))
+    """n clauses that no other i has."""
+    return ", ".join(f"w{'abcdefghij'[i]}{'klmnopqrstuvwxyz'[j]}" for j in range(n))
 
 
 def test_line_dedup_by_documents_counts_inner_lines(spark):
     passage = "A first line of it\n\nAnd then the second line\nAnd a third"
     rows = [(i, f"{own(i)}\n{passage}\n{own(i + 3)}", "en", "s", 0) for i in range(3)]
     copies = [(20 + i, f"{own(7)}\nA copied line that stands here\n{own(8)}{' x' * i}", "en", "s", 0) for i in range(5)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows + copies), by_documents=True).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows + copies)).collect()}
     assert got == {r[0]: r[1] for r in rows[:1] + copies} | {i: f"{own(i)}\n\n{own(i + 3)}" for i in (1, 2)}
 
 
@@ -238,7 +238,7 @@ def test_line_dedup_by_documents_takes_long_lines_from_two_on(spark):
     long = "A line of many words that stands in two documents alone"
     rows = [(i, f"{own(i)}\n{long}\nA short line too", "en", "s", 0) for i in range(2)]
     copies = [(20 + i, f"{own(7)}\nA copied line of many words that stands here too\n{own(8)}{' x' * i}", "en", "s", 0) for i in range(2)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows + copies), by_documents=True).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows + copies)).collect()}
     assert got == {r[0]: r[1] for r in rows[:1] + copies} | {1: f"{own(1)}\nA short line too"}
 
 
@@ -246,9 +246,28 @@ def test_line_dedup_keeps_tables_and_numbered_lines(spark):
     steps = "\n".join(f"{own(i)}\nStep {i} done now" for i in range(4))
     numbers = [(10 + i, f"{own(5 + i)}\n{i} {i + 1} {i + 2}", "en", "s", 0) for i in range(4)]
     rows = [(0, steps, "en", "s", 0), (1, steps, "en", "s", 0), (2, steps + " x", "en", "s", 0), *numbers]
-    for rule in (False, True):
-        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows), by_documents=rule).collect()}
-        assert got == {r[0]: r[1] for r in rows}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows)).collect()}
+    assert got == {r[0]: r[1] for r in rows}
+
+
+def test_line_dedup_drops_whole_blocks_of_boilerplate(spark):
+    head, foot = "Welcome to our site\nAll the news", "Follow us on all channels\nContact the desk\nAll rights reserved here"
+    rows = [(i, f"{head}\n{own(i % 10, 3 + i // 10)}\n{foot}", "en", "s", 0) for i in range(20)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {i: own(i % 10, 3 + i // 10) for i in range(1, 20)}
+
+
+def test_line_dedup_generalises_words_and_short_lines_need_more(spark):
+    names = "anna bert cleo dora emil fred gina hugo ines jack kira lars mona nils olga paul quin rosa sven tina".split()
+    rows = [(i, f"{own(i % 10, 3 + i // 10)}\nPosted by {n} in all news\nRead on", "en", "s", 0) for i, n in enumerate(names)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {i: own(i % 10, 3 + i // 10) for i in range(1, 20)}
+    few = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows[:19])).collect()}
+    assert few[18] == f"{own(8, 4)}\nRead on"
+    # with the whole line as leading tokens, the path tells names in three documents apart
+    some = [(i, f"{own(i % 10, 3 + i // 10)}\nPosted by {'abcdef'[i // 3]}a in all news", "en", "s", 0) for i in range(18)]
+    kept = {d: sum("Posted" in r.text for r in line_dedup.dedup_lines(awkward(spark, some), depth=d).collect()) for d in (2, 3)}
+    assert kept == {2: 1, 3: 6}
 
 
 def test_line_dedup_without_blanks(spark):
@@ -356,3 +375,18 @@ def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, n_chars string")
     got = html_extract.extract_pages(df).collect()
     assert sorted(r.n_chars for r in got) == [0, len(html_extract.extract(PAGE))] + [len(html_extract.extract(PAGE))]
+
+
+def test_language_with_few_rows_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 20)
+    rows = [(1, "the thing that they think of the other", "en", "a", 0)] * 300 + [(2, "zwölf größere züge über würzburg", "de", "a", 0)] * 3
+    got = langid.fit(awkward(spark, rows), max_rows=20)
+    assert set(got) == {"en", "de"}
+
+
+def test_penalty_is_chosen_inside_the_rows_learned_from():
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(sorted({f"w{k}" for k in rng.integers(0, 400, 12)} | ({f"vile{i % 7}"} if i % 4 == 0 else set()))), int(i % 4 == 0)) for i in range(240)]
+    assert toxicity._penalty(toxicity._distinct(rows)) in toxicity.PENALTIES
+    model = toxicity.learn(rows)
+    assert model.score("w1 w2 vile3") > 0.5 > model.score("w1 w2 w3")

@@ -77,12 +77,22 @@ def test_lookup_errors_bound_distances():
 
 def test_index_retrieves_every_code_in_the_radius():
     rng = np.random.default_rng(3)
-    codes = rng.integers(0, 256, (800, 8), dtype=np.uint8)
-    index = mih.Index(codes)
-    for q in codes[:20]:
-        for r in (0, 5, 20, 27, 64):
-            want = np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= r)
-            assert np.array_equal(index.within(q, r), want)
+    words = rng.integers(0, 1 << 63, (800, mih.WORDS), dtype=np.uint64)
+    words[:200, 0] &= np.uint64(0xF0F0F)  # some close codes
+    index = mih.Index(words)
+    for q in words[:20, 0]:
+        for r in (0, 3, 7, 20, 27, 64):
+            want = np.flatnonzero(np.bitwise_count(words[:, 0] ^ q) <= r)
+            assert np.array_equal(index.probe(q, r), want)
+            assert np.array_equal(np.flatnonzero(index.read(q) <= r), want)
+
+
+def test_neighbours_leave_out_the_own_row_only(spark):
+    one, two = [1.0] * 4, [2.0] * 4
+    rows = [(100, one), (100, one), (100, two), (101, one), (102, [1.0] * 3), (200, [1.5] * 3), (300, None), (None, one)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in mih.nearest_neighbours(df, df.where("vec_id % 100 = 0"), 2).collect())
+    assert got == sorted([(100, 1, 100, 0.0), (100, 2, 101, 0.0)] * 2 + [(100, 1, 100, 2.0), (100, 2, 100, 2.0), (200, 1, 102, 0.75**0.5)])
 
 
 def test_neighbours(spark, monkeypatch):
@@ -97,7 +107,7 @@ def test_neighbours(spark, monkeypatch):
         mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [r.rank for r in mine] == list(range(1, 11)) and [(r.score, r.vec_id) for r in mine] == sorted((r.score, r.vec_id) for r in mine)
         d = np.sqrt(((x - x[ids.index(q)]) ** 2).sum(1))
-        all_ = sorted((s, i) for s, i in zip(d, ids) if i is not None and i != q)
+        all_ = sorted((s, i) for j, (s, i) in enumerate(zip(d, ids)) if i is not None and j != ids.index(q))
         for r in mine:
             assert any(i == r.vec_id and abs(s - r.score) < 1e-12 for s, i in all_)
         hit += len({i for _, i in all_[:10]} & {r.vec_id for r in mine})
@@ -113,7 +123,7 @@ def test_neighbours_recall_with_all_bits(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     ok = [r for r in df.collect() if r.vec_id is not None and r.embedding and np.any(r.embedding)]
     x = np.array([r.embedding for r in ok], dtype=float)
-    assert x.shape[1] == 64 and mih.RADIUS < 64 and len(x) > 3 * mih.SHARD
+    assert x.shape[1] == 64 and mih.BITS == 64 and len(x) > 3 * mih.SHARD
     ids = [r.vec_id for r in ok]
     got = collections.defaultdict(set)
     for r in mih.nearest_neighbours(df, df.where("vec_id % 100 = 0")).collect():
@@ -172,3 +182,18 @@ def test_reader_finds_faults():
         list(warc.read_records(gzip.compress(gzip.decompress(good_).replace(b"payload", b"PAYLOAD"))))
     with pytest.raises(ValueError):
         list(warc.read_records(gzip.compress(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")))
+
+
+def test_archives_keep_large_ids_beside_nulls(spark):
+    big = 2**53
+    rows = [(big + 1, "u", "<a>"), (big + 3, "u", "<a>"), (None, "v", "<a>"), (2**63 - 1, None, None), (2**63 - 3, "w", ""), (None, None, "own"), (None, "x", "nn"), (None, "y", "nn")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(df)).collect())
+    want = [(big + 1, "revisit", big + 3), (big + 3, "response", None), (None, "revisit", big + 3), (2**63 - 1, "response", None), (2**63 - 3, "revisit", 2**63 - 1)]
+    assert got == collections.Counter(want + [(None, "response", None)] * 3)
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.02]), (5, [0.0, 1.0]), (6, None)]
+    got = pq_dedup.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 0, 6)]
