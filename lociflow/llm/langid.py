@@ -25,7 +25,7 @@ from .common import map_text, shared_table
 
 DIM = 1024
 GRAM = 3
-#: Rows of one language to learn from, at most (about; chosen by hash; all, if there are fewer).
+#: Texts of one language to learn from, at most (about; chosen by hash; all, if there are fewer).
 TRAIN_ROWS = 2000
 _CHUNK = 1 << 19
 _letters = np.zeros(0x110000, np.uint8)  # 0: not known yet, 1: letter, 2: none
@@ -123,18 +123,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
-def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, np.ndarray]:
-    """Prototype per language, from at most about max_rows rows of each with text and language.
+def fit(rows: DataFrame, max_rows: int = TRAIN_ROWS, text_col="text", lang_col="lang") -> dict[str, np.ndarray]:
+    """Prototype per language, from at most about max_rows different texts of each.
 
-    The rows are those with the smallest hashes of id and text, so rare languages are learned
-    from whole and rows that repeat an id are drawn one by one; each task sends one vector
-    per language."""
-    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    They are those with the smallest hashes, so rare languages are learned from whole, and a
+    text counts once however many rows hold it; each task sends one vector per language."""
+    rows = rows.select(F.xxhash64(F.lit(11), text_col).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("text is not null and lang is not null")
-    share = rows.groupBy(F.col("lang").alias("_l")).agg((F.least(F.lit(1.0), F.lit(max_rows) / F.count("*")) * (1 << 40)).alias("_most"))
+    share = rows.groupBy(F.col("lang").alias("_l")).agg((F.least(F.lit(1.0), F.lit(max_rows) / F.count_distinct("h")) * (1 << 40)).alias("_most"))
     share = shared_table(share, "languages")  # one row per language; of known size
-    some = rows.join(share, F.col("lang") == F.col("_l")).where(F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 40)) < F.col("_most"))
-    some = some.select("lang", "text").repartition(16)
+    some = rows.join(share, F.col("lang") == F.col("_l")).where(F.pmod("h", F.lit(1 << 40)) < F.col("_most"))
+    some = some.dropDuplicates(["lang", "h"]).select("lang", "text").repartition(16)
 
     def run(batches):
         total: dict[str, np.ndarray] = {}

@@ -377,8 +377,7 @@ def test_extract_pages(spark):
     assert sorted(r.n_chars for r in got) == [0, len(html_extract.extract(PAGE))] + [len(html_extract.extract(PAGE))]
 
 
-def test_language_with_few_rows_is_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "TRAIN_ROWS", 20)
+def test_language_with_few_rows_is_learned(spark):
     rows = [(1, "the thing that they think of the other", "en", "a", 0)] * 300 + [(2, "zwölf größere züge über würzburg", "de", "a", 0)] * 3
     got = langid.fit(awkward(spark, rows), max_rows=20)
     assert set(got) == {"en", "de"}
