@@ -9,7 +9,8 @@ weight and is left out, but does not cut the article in two.  The region is wide
 the bounds of the <article> or <main> that holds it.
 
 Defined results: null or empty html, and pages without a word outside such elements,
-give an empty text.  Unclosed elements end with the page, if they are raw text; other
+give an empty text.  Unclosed elements end with the page, if they are raw text; paragraphs,
+list items and cells end where the next one or their container's end implies it; other
 unclosed containers count as a single tag.  Nothing is cut off, however long.
 """
 
@@ -32,6 +33,8 @@ VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "l
 INLINE = frozenset(
     ["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"]
 )
+# fixed values: elements whose end tag may be left out, and the tags that end them (any block ends a p)
+ENDED_BY = {"p": (), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "tbody", "tfoot"), "td": ("td", "th", "tr"), "th": ("td", "th", "tr")}
 # fixed values: words of class, id and role that mark what is not the article
 NAMES = frozenset(
     ["ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "masthead", "sidebar", "aside", "widget", "related", "share", "social", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "search", "comment", "comments", "disqus", "replies", "form", "pagination", "pager", "copyright", "legal", "contentinfo", "complementary"]
@@ -88,15 +91,43 @@ def _tokens(page: str) -> list[tuple]:
     return out
 
 
-def _outline(tokens: list[tuple]) -> list[tuple]:
-    """tokens with each element that is left out in one ('x', name)."""
+def _ends(tokens: list[tuple]) -> dict[int, int]:
+    """Opening tag -> last token of its element, whose end tag may be implied."""
     closes: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
+    loose: list[int] = []  # open elements that may end without a tag, innermost last
+
+    def end_at(i: int):
+        j = loose.pop()
+        opened[tokens[j][1]].pop()  # j: all open elements of such a kind are loose
+        closes[j] = i
+
     for i, t in enumerate(tokens):
-        if t[0] == "o" and t[1] not in VOID:
-            opened.setdefault(t[1], []).append(i)
-        elif t[0] == "c" and opened.get(t[1]):
-            closes[opened[t[1]].pop()] = i
+        name = t[1]
+        if t[0] == "o" and name not in VOID:
+            if name not in INLINE:
+                while loose and (name in ENDED_BY.get(tokens[loose[-1]][1], ()) or tokens[loose[-1]][1] == "p"):
+                    if any(at and at[-1] > loose[-1] for kind, at in opened.items() if kind not in INLINE):
+                        break  # inside a further element
+                    end_at(i - 1)
+            opened.setdefault(name, []).append(i)
+            if name in ENDED_BY:
+                loose.append(i)
+        elif t[0] == "c" and opened.get(name):
+            at = opened[name][-1]
+            if name not in INLINE:
+                while loose and loose[-1] > at:
+                    end_at(i - 1)
+            opened[name].pop()
+            if loose and loose[-1] == at:
+                loose.pop()
+            closes[at] = i
+    return closes
+
+
+def _outline(tokens: list[tuple]) -> list[tuple]:
+    """tokens with each element that is left out in one ('x', name)."""
+    closes = _ends(tokens)
     out, i, inner = [], 0, 0
     while i < len(tokens):
         t = tokens[i]

@@ -371,6 +371,15 @@ def test_extraction():
     assert html_extract.extract(f"<body><nav><a>x</a></nav><main>{body}</main>").count("\n") == 1999
 
 
+def test_end_tags_that_are_implied():
+    page = "<article><h1>Head line here</h1><p>First words.<p class=notice>A notice<p>More words of it.<ul><li>one point<li class=advert>buy now<li>two points</ul><p>Last words.</article>"
+    assert html_extract.extract(page).split("\n") == ["Head line here", "First words.", "More words of it.", "one point", "two points", "Last words."]
+    # an end tag that is there, and a list inside a list item
+    page = "<article><p class=ad>buy</p>Plain words stay here.<ul><li>outer words<ul><li class=ad>buy<li>inner words</ul><li>next words</ul></article>"
+    assert html_extract.extract(page).split("\n") == ["Plain words stay here.", "outer words", "inner words", "next words"]
+    assert html_extract.extract("<p>" * 20000 + "deep words" + "<ul><li>" * 2000).endswith("deep words")
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (1, "u", PAGE, "x")], "page_id long, url string, html string, n_chars string")
     got = html_extract.extract_pages(df).collect()
