@@ -14,6 +14,11 @@ fixed depth, as log lines are:
   which keeps tokens that stand in `BRANCH` documents there.  A template must keep
   `SIMILAR` of its tokens, so any two of its lines agree in at least as many.
 
+Lines that share no quarter, but agree in `SIMILAR` of their tokens, place by place, with any
+other line are found exactly: their differences are too few to touch all pairs of tokens.  Each
+group of lines so linked is one more leaf, without leading tokens; its templates come after
+those of the tree.
+
 A line takes the first that recurs of its leaf's template, the finer one, and itself.  A
 template recurs if it stands in three documents that are unlike each other; two are enough
 for lines of `LONG_TOKENS` tokens or `LONG_CHARS` characters and more that are equal, and
@@ -35,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, shared_table
+from .common import by_place, components, drop_table, pair_blocks, shared_table
 
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
@@ -45,6 +50,10 @@ QUARTERS = 4
 BRANCH = 3
 #: Share of its tokens that a template must keep.
 SIMILAR = (3, 5)
+#: Lines of fewer tokens share a quarter if they agree in SIMILAR of them.
+UNSURE = next(n for n in range(QUARTERS, 1000) if n - -(-n * SIMILAR[0] // SIMILAR[1]) >= QUARTERS)
+#: Rows of a shared pair of tokens that meet in one group.
+BLOCK = 2048
 #: Tokens or characters from which a line recurs in two unlike documents.
 LONG_TOKENS = 8
 LONG_CHARS = 48
@@ -83,10 +92,11 @@ def _number(digits: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(id, h, pos, x, n, kind, lead, parts) for each line that may match.
+    """(id, h, pos, x, n, kind, lead, parts, pairs) for each line that may match.
 
     Only hashes leave this step: x of the masked line, lead of its leading tokens, parts of
-    its quarters (null: no constant token); h is the text's."""
+    its quarters (null: no constant token), pairs of its tokens two by two where quarters may
+    miss a similar line (null: a wildcard among them); h is the text's."""
     text = F.col(text_col)
     # the digest below the explode, so that it is taken once per text
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), _digest(text).alias("h"), F.split(text, "\n").alias("lines"))
@@ -102,13 +112,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     cuts = [F.floor(n * F.lit(i) / F.lit(QUARTERS)).cast("int") for i in range(QUARTERS + 1)]
     parts = [first(first(masked, hi), lo - hi) for lo, hi in zip(cuts, cuts[1:])]
     lead = first(masked, F.lit(depth))
-    # no lambdas, which are interpreted
-    rows = rows.select("id", "h", "pos", F.xxhash64("masked").alias("x"), "n", kind.cast("byte").alias("kind"), F.split(lead, " ").alias("lead"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    rows = rows.withColumn("tokens", F.when(n >= UNSURE, F.split("masked", " ")))
+    two = lambda i: (F.get("tokens", 2 * i), F.get("tokens", 2 * i + 1))
+    pair = lambda i: F.when((two(i)[0] != ANY) & ~F.equal_null(two(i)[1], F.lit(ANY)), F.xxhash64("n", i, *two(i)))
+    pairs = F.when(n >= UNSURE, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), pair))
+    # no lambdas but for pairs: they are interpreted
+    rows = rows.select("id", "h", "pos", pairs.alias("pairs"), F.xxhash64("masked").alias("x"), "n", kind.cast("byte").alias("kind"), F.split(lead, " ").alias("lead"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])
     tokens = [F.get("lead", F.lit(i)) for i in range(depth)]
     lead = [F.when(t != ANY, F.xxhash64(t)) for t in tokens]
     pieces = [(F.lit(i), F.col(f"p{i}")) for i in range(QUARTERS)]
     parts = [F.when((p != "") & _constant(p), F.xxhash64(i, "n", p)) for i, p in pieces]
-    return rows.select("id", "h", "pos", "x", "n", "kind", F.array(*lead).alias("lead"), F.array(*parts).alias("parts"))
+    return rows.select("id", "h", "pos", "x", "n", "kind", F.array(*lead).alias("lead"), F.array(*parts).alias("parts"), "pairs")
 
 
 def _constant(tokens: Column) -> Column:
@@ -116,13 +130,69 @@ def _constant(tokens: Column) -> Column:
     return ~tokens.contains(ANY) | (F.trim(F.replace(tokens, F.lit(ANY), F.lit(""))) != "")
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    """The lines that share a part with a line of another document."""
+def _shared(lines: DataFrame) -> DataFrame:
+    """(x) of the lines that share a part with a line of another document."""
     keyed = lines.select("x", "h", F.explode("parts").alias("part")).where("part is not null")
     shared = keyed.groupBy("part").agg((F.min("h") < F.max("h")).alias("_m")).where("_m").select("part")
     # a table of its own, so that the join's sides are plain shuffles and a very common line can be split
-    forms = shared_table(keyed.join(shared, "part", "left_semi").select("x").distinct(), "line-shared")
-    return lines.drop("parts").join(forms, "x", "left_semi")
+    return shared_table(keyed.join(shared, "part", "left_semi").select("x").distinct(), "line-shared")
+
+
+def _agreeing(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """(x, y) of different lines that may agree in SIMILAR of their tokens, where one is not in shared.
+
+    Lines of n tokens that differ in d places at most share all their pairs of tokens but d.
+    So a line needs that many pairs that stand in others too, and two lines still meet when
+    each leaves out all but one of that many, the most common ones."""
+    keyed = lines.where("pairs is not null").select("x", "n", F.explode("pairs").alias("p")).where("p is not null")
+    common = keyed.groupBy("p").agg(F.count("*").alias("c"), (F.min("x") < F.max("x")).alias("_m")).where("_m").drop("_m")
+    differ = F.floor(F.col("n") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1])
+    needed = (F.floor((F.col("n") + 1) / 2) - differ).cast("int")
+    keys = keyed.join(common, "p").groupBy("x", "n").agg(F.sort_array(F.collect_set(F.struct("c", "p"))).alias("k")).where(F.size("k") >= needed)
+    keys = shared_table(keys.select("x", F.slice("k", F.lit(1), F.size("k") - needed + 1).alias("k")), "line-keys")
+    keys = keys.join(shared.withColumn("_s", F.lit(True)), "x", "left").select("x", F.col("_s").isNull().alias("rest"), F.explode("k.p").alias("p"))
+    # only pairs of tokens that a line outside shared has
+    open_ = keys.groupBy("p").agg(F.max("rest").alias("_r"), (F.min("x") < F.max("x")).alias("_m")).where("_r and _m").select("p")
+    keys = pair_blocks(shared_table(keys.join(open_, "p", "left_semi"), "line-open"), "p", "x", BLOCK)
+    a, b = keys, keys.select("p", "lo", "hi", F.col("x").alias("y"), F.col("rest").alias("_rest"), F.col("blk").alias("_blk"))
+    met = a.join(b, ["p", "lo", "hi"]).where("x < y and (rest or _rest) and (lo = hi or blk <> _blk)")
+    return met.select("x", "y").distinct()
+
+
+def _linked(docs: DataFrame, lines: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As _leaves, for lines that agree with one outside shared: leaf is the group of links."""
+    pairs = shared_table(_agreeing(lines, shared), "line-pairs")
+    ends = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
+    forms = shared_table(_forms(lines.join(ends, "x", "left_semi"), "n", "kind"), "line-ends")
+    tokens = F.split(_masked(F.col("line")), " ")
+    places = F.transform(tokens, lambda v, i: F.when(v != ANY, F.xxhash64(i, v)))
+    tokens = shared_table(_at_place(docs, forms, ["n"], id_col, text_col).select("x", "n", F.array_compact(places).alias("a")), "line-places")
+    both = pairs.join(tokens, "x").join(tokens.select(F.col("x").alias("y"), F.col("n").alias("_n"), F.col("a").alias("b")), "y")
+    links = both.where((F.col("n") == F.col("_n")) & (F.size(F.array_intersect("a", "b")) * SIMILAR[1] >= F.col("n") * SIMILAR[0]))
+    groups = shared_table(components(shared_table(links.select("x", "y"), "line-links"), "x", "y"), "line-groups")
+    forms = forms.join(groups.select(F.col("id").alias("x"), F.xxhash64("component").alias("leaf")), "x")
+    size = forms.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= BRANCH)
+    return forms.withColumn("own", F.array().cast("array<boolean>")).join(size, "leaf")
+
+
+def _forms(lines: DataFrame, *columns: str) -> DataFrame:
+    """(x, *columns, at, docs) per distinct line: one place where it stands, and its documents."""
+    place = F.min(F.struct("h", "pos", "id"))
+    forms = lines.groupBy("x").agg(*[F.first(c).alias(c) for c in columns], place.alias("at"))
+    docs = lines.select("x", "h").distinct().groupBy("x").agg(F.count("*").alias("docs"))
+    return forms.join(docs, "x")
+
+
+def _at_place(docs: DataFrame, forms: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(x, *columns, line) per distinct line, the line read where it stands."""
+    places = forms.groupBy(F.col("at.id").alias("at_id"), F.col("at.h").alias("at_h"))
+    places = places.agg(F.collect_list(F.struct("x", "at.pos", *columns)).alias("at"))  # of one document
+    texts = docs.select(F.col(id_col).alias("_id"), _digest(F.col(text_col)).alias("_dh"), F.col(text_col).alias("text"))
+    found = texts.join(shared_table(places, "line-places"), F.col("_id").eqNullSafe(F.col("at_id")) & (F.col("_dh") == F.col("at_h")))
+    found = found.select(F.split("text", "\n").alias("text"), "at")
+    found = found.select(F.explode(F.transform("at", lambda f: F.struct(f.alias("f"), F.get("text", f["pos"]).alias("line")))).alias("z"))
+    # a text may stand in several rows
+    return found.select("z.f.*", "z.line").dropDuplicates(["x"])
 
 
 def _leaves(lines: DataFrame, depth: int) -> DataFrame:
@@ -130,10 +200,7 @@ def _leaves(lines: DataFrame, depth: int) -> DataFrame:
 
     own: which leading tokens are branches of their own; at: one place where the line
     stands; leaf_docs: null where the leaf has nothing to generalise."""
-    place = F.min(F.struct("h", "pos", "id"))
-    forms = lines.groupBy("x").agg(F.first("n").alias("n"), F.first("kind").alias("kind"), F.first("lead").alias("lead"), place.alias("at"))
-    docs = lines.select("x", "h").distinct().groupBy("x").agg(F.count("*").alias("docs"))
-    forms = shared_table(forms.join(docs, "x"), "line-forms")
+    forms = shared_table(_forms(lines, "n", "kind", "lead"), "line-forms")
     tokens = forms.select("n", "docs", F.posexplode("lead").alias("i", "t")).where("t is not null")
     branches = tokens.groupBy("n", "i", "t").agg(F.sum("docs").alias("_d")).where(F.col("_d") >= BRANCH)
     branches = shared_table(branches.select("n", "i", "t"), "line-branches")
@@ -150,14 +217,7 @@ def _leaves(lines: DataFrame, depth: int) -> DataFrame:
 
 def _templates(docs: DataFrame, forms: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """(x, ids): (id, kind) of the templates a line may take, the most general first."""
-    places = forms.where("leaf_docs is not null").groupBy(F.col("at.id").alias("at_id"), F.col("at.h").alias("at_h"))
-    places = places.agg(F.collect_list(F.struct("x", "at.pos", "leaf", "docs", "leaf_docs", "own")).alias("at"))  # of one document
-    texts = docs.select(F.col(id_col).alias("_id"), _digest(F.col(text_col)).alias("_dh"), F.col(text_col).alias("text"))
-    found = texts.join(shared_table(places, "line-places"), F.col("_id").eqNullSafe(F.col("at_id")) & (F.col("_dh") == F.col("at_h")))
-    found = found.select(F.split("text", "\n").alias("text"), "at")
-    found = found.select(F.explode(F.transform("at", lambda f: F.struct(f.alias("f"), F.get("text", f["pos"]).alias("line")))).alias("z"))
-    # a text may stand in several rows
-    found = found.select("z.f.*", "z.line").dropDuplicates(["x"])
+    found = _at_place(docs, forms.where("leaf_docs is not null"), ["leaf", "docs", "leaf_docs", "own"], id_col, text_col)
     tokens = found.select("x", "leaf", "docs", "leaf_docs", "own", F.posexplode_outer(F.split(_masked(F.col("line")), " ")).alias("i", "v"))
     own = F.coalesce(F.get("own", F.col("i")), F.lit(False))
     # a token is out (a wildcard), in (a branch) or open; only hashes and numbers go on
@@ -225,9 +285,19 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, id_col="doc_id", text_col="
     """docs, with lines of recurring templates taken out of text_col, plus _dropped (their number)."""
     names = docs.columns
     docs, (id_col, text_col) = by_place(docs, id_col, text_col)
-    lines = shared_table(_lines(docs, id_col, text_col, depth), "line-paths")
-    lines = shared_table(_parsed(lines), "line-parsed")
-    maybe = shared_table(_templates(docs, _leaves(lines, depth), id_col, text_col, depth), "line-templates")
+    paths = shared_table(_lines(docs, id_col, text_col, depth), "line-paths")
+    shared = _shared(paths)
+    linked = shared_table(_linked(docs, paths, shared, id_col, text_col), "line-linked")
+    slim = paths.drop("parts", "pairs")
+    lines = shared_table(slim.join(shared, "x", "left_semi"), "line-parsed")
+    more = linked.join(shared, "x", "left_anti").select("x")
+    more = shared_table(slim.join(more, "x", "left_semi"), "line-more")
+    drop_table(paths)
+    maybe = _templates(docs, _leaves(lines, depth), id_col, text_col, depth).withColumn("k", F.lit(0))
+    maybe = maybe.union(_templates(docs, linked, id_col, text_col, 0).withColumn("k", F.lit(1)))
+    maybe = maybe.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("o"))
+    maybe = shared_table(maybe.select("x", F.array_distinct(F.flatten("o.ids")).alias("ids")), "line-templates")
+    lines = lines.union(more)
     rows = lines.select("x", "h").join(maybe, "x").select("h", F.explode("ids").alias("o")).select("h", "o.*")
     often = _recurring(rows, _sketches(docs, text_col))
     options = maybe.select("x", F.posexplode("ids").alias("k", "o")).select("x", "k", "o.t").join(often, "t")
@@ -244,7 +314,8 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, id_col="doc_id", text_col="
     return joined.withColumn(text_col, text).withColumn("_dropped", F.coalesce(F.size("_at"), F.lit(0))).select(*docs.columns, "_dropped").toDF(*names, "_dropped")
 
 
-#: The definition above for whole tables in one process: templates are the strings themselves.
+#: The tree for whole tables in one process: templates are the strings themselves.  The groups of
+#: similar lines that share no quarter are not in it.
 ORACLE = """
 with d as (
   select doc_id, text, ('0x' || substr(md5(text), 1, 15))::bigint as h from documents where text is not null

@@ -270,6 +270,41 @@ def test_line_dedup_generalises_words_and_short_lines_need_more(spark):
     assert kept == {2: 1, 3: 6}
 
 
+def test_line_dedup_generalises_fields_in_all_quarters(spark):
+    words = "anna bert cleo dora emil fred gina hugo ines jack kira lars mona nils olga paul".split()
+    field = lambda i, j: words[4 * i + j]
+    rows = [(i, f"{own(i)}\nShared by {field(i, 0)} with all {field(i, 1)} members of {field(i, 2)} on this {field(i, 3)}", "en", "s", 0) for i in range(4)]
+    # one more that shares a quarter with a line of its own only
+    rows += [(10 + i, f"{own(4 + i)}\n{'abc'[i]} b c d e f g h i {'jkl'[i]} k l", "en", "s", 0) for i in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(awkward(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {i: own(i) for i in (1, 2, 3)} | {r[0]: r[1] for r in rows[4:]}
+
+
+def test_line_dedup_finds_all_agreeing_lines(spark):
+    rng = np.random.default_rng(3)
+    lines = set()
+    for n in (10, 11, 14, 20, 23):
+        for _ in range(12):
+            base = rng.integers(0, 40, n)
+            for _ in range(6):
+                at = rng.permutation(n)[: int(rng.integers(0, n * 2 // 5 + 2))]
+                line = base.copy()
+                line[at] = rng.integers(0, 40, len(at))
+                lines.add(" ".join(f"{'abcdefgh'[v // 5]}{'klmno'[v % 5]}" if v else "<*>" for v in line))
+    lines = sorted(lines)
+    split = [x.split() for x in lines]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    paths = line_dedup._lines(docs, "doc_id", "text", 3)
+    number = {r.x: r.id for r in paths.select("x", "id").collect()}
+    want = {(i, j) for j, b in enumerate(split) for i, a in enumerate(split[:j]) if len(a) == len(b) and 5 * sum(v == w != "<*>" for v, w in zip(a, b)) >= 3 * len(a)}
+    for block in (2048, 2):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(line_dedup, "BLOCK", block)
+            got = line_dedup._agreeing(paths, paths.select("x").limit(0)).collect()
+        assert len(want) > 300 and want <= {tuple(sorted((number[r.x], number[r.y]))) for r in got}
+        assert len(got) == len(set(got))
+
+
 def test_line_dedup_without_blanks(spark):
     line = "未经许可不得转载本网站的任何内容"
     rows = [(i, f"{own(i)}\n{line}\nshort", "en", "s", 0) for i in range(4)]
