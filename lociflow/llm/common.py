@@ -7,6 +7,7 @@ re-run of its tasks only.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -42,6 +43,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of the tables written inside go when each is written, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table made by shared_table that nothing reads any more."""
     path = getattr(df, "_lociflow_path", None)

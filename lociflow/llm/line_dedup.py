@@ -40,7 +40,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, components, drop_table, pair_blocks, shared_table
+from .common import by_place, components, drop_table, pair_blocks, shared_table, shuffles_removed
 
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
@@ -50,7 +50,7 @@ QUARTERS = 4
 BRANCH = 3
 #: Share of its tokens that a template must keep.
 SIMILAR = (3, 5)
-#: Lines of fewer tokens share a quarter if they agree in SIMILAR of them.
+#: Lines of fewer tokens share a quarter if they agree in SIMILAR of them: there are more parts than differences.
 UNSURE = next(n for n in range(QUARTERS, 1000) if n - -(-n * SIMILAR[0] // SIMILAR[1]) >= QUARTERS)
 #: Rows of a shared pair of tokens that meet in one group.
 BLOCK = 2048
@@ -92,11 +92,10 @@ def _number(digits: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(id, h, pos, x, n, kind, lead, parts, pairs) for each line that may match.
+    """(id, h, pos, x, n, kind, lead, parts) for each line that may match.
 
     Only hashes leave this step: x of the masked line, lead of its leading tokens, parts of
-    its quarters (null: no constant token), pairs of its tokens two by two where quarters may
-    miss a similar line (null: a wildcard among them); h is the text's."""
+    its quarters (null: no constant token); h is the text's."""
     text = F.col(text_col)
     # the digest below the explode, so that it is taken once per text
     rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), _digest(text).alias("h"), F.split(text, "\n").alias("lines"))
@@ -112,17 +111,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     cuts = [F.floor(n * F.lit(i) / F.lit(QUARTERS)).cast("int") for i in range(QUARTERS + 1)]
     parts = [first(first(masked, hi), lo - hi) for lo, hi in zip(cuts, cuts[1:])]
     lead = first(masked, F.lit(depth))
-    rows = rows.withColumn("tokens", F.when(n >= UNSURE, F.split("masked", " ")))
-    two = lambda i: (F.get("tokens", 2 * i), F.get("tokens", 2 * i + 1))
-    pair = lambda i: F.when((two(i)[0] != ANY) & ~F.equal_null(two(i)[1], F.lit(ANY)), F.xxhash64("n", i, *two(i)))
-    pairs = F.when(n >= UNSURE, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), pair))
-    # no lambdas but for pairs: they are interpreted
-    rows = rows.select("id", "h", "pos", pairs.alias("pairs"), F.xxhash64("masked").alias("x"), "n", kind.cast("byte").alias("kind"), F.split(lead, " ").alias("lead"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    # no lambdas, which are interpreted
+    rows = rows.select("id", "h", "pos", F.xxhash64("masked").alias("x"), "n", kind.cast("byte").alias("kind"), F.split(lead, " ").alias("lead"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])
     tokens = [F.get("lead", F.lit(i)) for i in range(depth)]
     lead = [F.when(t != ANY, F.xxhash64(t)) for t in tokens]
     pieces = [(F.lit(i), F.col(f"p{i}")) for i in range(QUARTERS)]
     parts = [F.when((p != "") & _constant(p), F.xxhash64(i, "n", p)) for i, p in pieces]
-    return rows.select("id", "h", "pos", "x", "n", "kind", F.array(*lead).alias("lead"), F.array(*parts).alias("parts"), "pairs")
+    return rows.select("id", "h", "pos", "x", "n", "kind", F.array(*lead).alias("lead"), F.array(*parts).alias("parts"))
 
 
 def _constant(tokens: Column) -> Column:
@@ -138,17 +133,31 @@ def _shared(lines: DataFrame) -> DataFrame:
     return shared_table(keyed.join(shared, "part", "left_semi").select("x").distinct(), "line-shared")
 
 
-def _agreeing(lines: DataFrame, shared: DataFrame) -> DataFrame:
+def _pairs(docs: DataFrame, text_col: str) -> DataFrame:
+    """(x, n, p) for each pair of neighbouring constant tokens, two by two, of lines that quarters may miss."""
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull()).select(F.explode_outer(F.split(text, "\n")).alias("line"))
+    rows = rows.select(F.explode(F.array(_masked(F.col("line")))).alias("masked"))
+    masked = F.col("masked")
+    n = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    rows = rows.where((n >= UNSURE) & _constant(masked)).select(F.xxhash64(masked).alias("x"), n.alias("n"), F.split(masked, " ").alias("tokens"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 2).cast("int"))))
+    a, b = F.get("tokens", F.col("i") * 2), F.coalesce(F.get("tokens", F.col("i") * 2 + 1), F.lit(""))
+    # 40 bits, as these rows are the most: a pair taken for another costs a comparison, no link
+    return rows.where((a != ANY) & (b != ANY)).select("x", "n", F.shiftrightunsigned(F.xxhash64("n", "i", a, b), 24).alias("p"))
+
+
+def _agreeing(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """(x, y) of different lines that may agree in SIMILAR of their tokens, where one is not in shared.
 
     Lines of n tokens that differ in d places at most share all their pairs of tokens but d.
     So a line needs that many pairs that stand in others too, and two lines still meet when
     each leaves out all but one of that many, the most common ones."""
-    keyed = lines.where("pairs is not null").select("x", "n", F.explode("pairs").alias("p")).where("p is not null")
-    common = keyed.groupBy("p").agg(F.count("*").alias("c"), (F.min("x") < F.max("x")).alias("_m")).where("_m").drop("_m")
+    keyed = keyed.repartition("p")  # read by both sides
+    common = keyed.groupBy("p").agg(F.count("*").alias("c"), F.max("n").alias("_n"), (F.min("x") < F.max("x")).alias("_m")).where("_m").select("p", "c", "_n")
     differ = F.floor(F.col("n") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1])
     needed = (F.floor((F.col("n") + 1) / 2) - differ).cast("int")
-    keys = keyed.join(common, "p").groupBy("x", "n").agg(F.sort_array(F.collect_set(F.struct("c", "p"))).alias("k")).where(F.size("k") >= needed)
+    keys = keyed.join(common, "p").where("n <= _n").groupBy("x", "n").agg(F.sort_array(F.collect_set(F.struct("c", "p"))).alias("k")).where(F.size("k") >= needed)
     keys = shared_table(keys.select("x", F.slice("k", F.lit(1), F.size("k") - needed + 1).alias("k")), "line-keys")
     keys = keys.join(shared.withColumn("_s", F.lit(True)), "x", "left").select("x", F.col("_s").isNull().alias("rest"), F.explode("k.p").alias("p"))
     # only pairs of tokens that a line outside shared has
@@ -161,7 +170,7 @@ def _agreeing(lines: DataFrame, shared: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, lines: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """As _leaves, for lines that agree with one outside shared: leaf is the group of links."""
-    pairs = shared_table(_agreeing(lines, shared), "line-pairs")
+    pairs = shared_table(_agreeing(_pairs(docs, text_col), shared), "line-pairs")
     ends = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
     forms = shared_table(_forms(lines.join(ends, "x", "left_semi"), "n", "kind"), "line-ends")
     tokens = F.split(_masked(F.col("line")), " ")
@@ -281,14 +290,12 @@ def _recurring(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return found[0].union(found[1]).distinct()
 
 
-def dedup_lines(docs: DataFrame, depth: int = DEPTH, id_col="doc_id", text_col="text") -> DataFrame:
-    """docs, with lines of recurring templates taken out of text_col, plus _dropped (their number)."""
-    names = docs.columns
-    docs, (id_col, text_col) = by_place(docs, id_col, text_col)
+def _drops(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
+    """(_id, _dh, _at): the lines that go, for each document that loses some."""
     paths = shared_table(_lines(docs, id_col, text_col, depth), "line-paths")
     shared = _shared(paths)
     linked = shared_table(_linked(docs, paths, shared, id_col, text_col), "line-linked")
-    slim = paths.drop("parts", "pairs")
+    slim = paths.drop("parts")
     lines = shared_table(slim.join(shared, "x", "left_semi"), "line-parsed")
     more = linked.join(shared, "x", "left_anti").select("x")
     more = shared_table(slim.join(more, "x", "left_semi"), "line-more")
@@ -306,7 +313,15 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, id_col="doc_id", text_col="
     first = hit.groupBy("t").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h", "pos")).alias("first"))
     same = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")) & (F.col("first.pos") == F.col("pos"))
     drops = hit.join(first, "t").where(~same).groupBy("id", "h").agg(F.collect_set("pos").alias("_at"))
-    drops = shared_table(drops.select(F.col("id").alias("_id"), F.col("h").alias("_dh"), "_at"), "line-drops")
+    return shared_table(drops.select(F.col("id").alias("_id"), F.col("h").alias("_dh"), "_at"), "line-drops")
+
+
+def dedup_lines(docs: DataFrame, depth: int = DEPTH, id_col="doc_id", text_col="text") -> DataFrame:
+    """docs, with lines of recurring templates taken out of text_col, plus _dropped (their number)."""
+    names = docs.columns
+    docs, (id_col, text_col) = by_place(docs, id_col, text_col)
+    with shuffles_removed(docs.sparkSession):
+        drops = _drops(docs, id_col, text_col, depth)
     work = docs.withColumn("_h", _digest(F.col(text_col)))
     joined = work.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_dh")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_at"), i)), "\n")

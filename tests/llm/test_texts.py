@@ -300,7 +300,7 @@ def test_line_dedup_finds_all_agreeing_lines(spark):
     for block in (2048, 2):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(line_dedup, "BLOCK", block)
-            got = line_dedup._agreeing(paths, paths.select("x").limit(0)).collect()
+            got = line_dedup._agreeing(line_dedup._pairs(docs, "text"), paths.select("x").limit(0)).collect()
         assert len(want) > 300 and want <= {tuple(sorted((number[r.x], number[r.y]))) for r in got}
         assert len(got) == len(set(got))
 
