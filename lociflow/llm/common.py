@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,3 +173,23 @@ def pair_blocks(rows: DataFrame, key: str, ident: str, limit: int, weight: str |
         .withColumn("hi", F.greatest("blk", "_j"))
         .drop("_b", "_j")
     )
+
+
+def whole_groups(links):
+    """For mapInPandas over rows sorted by group: calls links with whole groups, several at a time."""
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = pdf["group"].to_numpy() == pdf["group"].iat[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            rest = pdf.iloc[cut:].reset_index(drop=True)
+            if cut:
+                yield links(pdf.iloc[:cut].reset_index(drop=True))
+        if rest is not None and len(rest) > 1:
+            yield links(rest)
+
+    return run

@@ -1,4 +1,4 @@
-"""Line dedup with a log-template tree, in DataFrame functions only.
+"""Line dedup with a log-template tree, in DataFrame functions but for the search for similar lines.
 
 A line is its tokens, between blanks; tokens that hold a digit, an address or a link are
 variable fields (`<*>`) from the start.  Lines that share a quarter of their tokens, place
@@ -15,7 +15,7 @@ fixed depth, as log lines are:
   `SIMILAR` of its tokens, so any two of its lines agree in at least as many.
 
 Lines that share no quarter, but agree in `SIMILAR` of their tokens, place by place, with any
-other line are found exactly: their differences are too few to touch all pairs of tokens.  Each
+other line are found exactly (line_pairs): their differences are too few to touch all blocks of tokens.  Each
 group of lines so linked is one more leaf, without leading tokens; its templates come after
 those of the tree.
 
@@ -40,7 +40,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, components, drop_table, pair_blocks, shared_table, shuffles_removed
+from . import line_pairs
+from .common import by_place, components, drop_table, pair_blocks, shared_table, shuffles_removed, whole_groups
 
 #: Leading tokens that are levels of the tree.
 DEPTH = 3
@@ -52,7 +53,7 @@ BRANCH = 3
 SIMILAR = (3, 5)
 #: Lines of fewer tokens share a quarter if they agree in SIMILAR of them: there are more parts than differences.
 UNSURE = next(n for n in range(QUARTERS, 1000) if n - -(-n * SIMILAR[0] // SIMILAR[1]) >= QUARTERS)
-#: Rows of a shared pair of tokens that meet in one group.
+#: Rows of a shared key that meet in one group.
 BLOCK = 2048
 #: Tokens or characters from which a line recurs in two unlike documents.
 LONG_TOKENS = 8
@@ -134,52 +135,43 @@ def _shared(lines: DataFrame) -> DataFrame:
 
 
 def _pairs(docs: DataFrame, text_col: str) -> DataFrame:
-    """(x, n, p) for each pair of neighbouring constant tokens, two by two, of lines that quarters may miss."""
-    text = F.col(text_col)
-    rows = docs.where(text.isNotNull()).select(F.explode_outer(F.split(text, "\n")).alias("line"))
-    rows = rows.select(F.explode(F.array(_masked(F.col("line")))).alias("masked"))
-    masked = F.col("masked")
-    n = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
-    rows = rows.where((n >= UNSURE) & _constant(masked)).select(F.xxhash64(masked).alias("x"), n.alias("n"), F.split(masked, " ").alias("tokens"))
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 2).cast("int"))))
-    a, b = F.get("tokens", F.col("i") * 2), F.coalesce(F.get("tokens", F.col("i") * 2 + 1), F.lit(""))
-    # 40 bits, as these rows are the most: a pair taken for another costs a comparison, no link
-    return rows.where((a != ANY) & (b != ANY)).select("x", "n", F.shiftrightunsigned(F.xxhash64("n", "i", a, b), 24).alias("p"))
-
-
-def _agreeing(keyed: DataFrame, shared: DataFrame) -> DataFrame:
-    """(x, y) of different lines that may agree in SIMILAR of their tokens, where one is not in shared.
-
-    Lines of n tokens that differ in d places at most share all their pairs of tokens but d.
-    So a line needs that many pairs that stand in others too, and two lines still meet when
-    each leaves out all but one of that many, the most common ones."""
-    keyed = keyed.repartition("p")  # read by both sides
-    common = keyed.groupBy("p").agg(F.count("*").alias("c"), F.max("n").alias("_n"), (F.min("x") < F.max("x")).alias("_m")).where("_m").select("p", "c", "_n")
-    differ = F.floor(F.col("n") * (SIMILAR[1] - SIMILAR[0]) / SIMILAR[1])
-    needed = (F.floor((F.col("n") + 1) / 2) - differ).cast("int")
-    keys = keyed.join(common, "p").where("n <= _n").groupBy("x", "n").agg(F.sort_array(F.collect_set(F.struct("c", "p"))).alias("k")).where(F.size("k") >= needed)
-    keys = shared_table(keys.select("x", F.slice("k", F.lit(1), F.size("k") - needed + 1).alias("k")), "line-keys")
-    keys = keys.join(shared.withColumn("_s", F.lit(True)), "x", "left").select("x", F.col("_s").isNull().alias("rest"), F.explode("k.p").alias("p"))
-    # only pairs of tokens that a line outside shared has
-    open_ = keys.groupBy("p").agg(F.max("rest").alias("_r"), (F.min("x") < F.max("x")).alias("_m")).where("_r and _m").select("p")
-    keys = pair_blocks(shared_table(keys.join(open_, "p", "left_semi"), "line-open"), "p", "x", BLOCK)
-    a, b = keys, keys.select("p", "lo", "hi", F.col("x").alias("y"), F.col("rest").alias("_rest"), F.col("blk").alias("_blk"))
-    met = a.join(b, ["p", "lo", "hi"]).where("x < y and (rest or _rest) and (lo = hi or blk <> _blk)")
-    return met.select("x", "y").distinct()
-
-
-def _linked(docs: DataFrame, lines: DataFrame, shared: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, size, bytes, lines): the masked lines that quarters may miss, many to a row (line_pairs)."""
+    return docs.select(text_col).mapInArrow(line_pairs.chunks(UNSURE), "chunk long, size long, bytes long, lines binary")
+
+
+def _agreeing(chunks: DataFrame, shared: DataFrame, stars: bool = False) -> DataFrame:
+    """(x, y) of different lines that agree in SIMILAR of their tokens, where one is not in shared.
+
+    stars: only as many of these links as connect the same lines."""
+    chunks = shared_table(chunks, "line-chunks")
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    bits = max(0, (size // line_pairs.BUCKET).bit_length())
+    dealt = chunks.mapInArrow(line_pairs.deal(bits), "bucket long, chunk long, data binary")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    answers = shared_table(dealt.mapInArrow(line_pairs.answer, "bucket long, chunk long, data binary"), "line-answers")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias("got"))
+    both = chunks.join(answers, "chunk").select("bytes", "lines", "got")
+    found = both.mapInArrow(line_pairs.survivors(bits), "x long, n int, a binary, c binary").dropDuplicates(["x"])
+    found = found.join(shared.withColumn("_s", F.lit(True)), "x", "left").select("x", F.col("_s").isNull().alias("rest"), "n", "a", "c")
+    found = shared_table(found, "line-found")
+    drop_table(chunks)
+    keys = shared_table(found.select("x", "rest", "n", "a", "c").mapInArrow(line_pairs.keys, "key long, x long, rest boolean"), "line-keys")
+    # only keys that a line outside shared has
+    open_ = keys.groupBy("key").agg(F.max("rest").alias("_r"), (F.min("x") < F.max("x")).alias("_m")).where("_r and _m").select("key")
+    met = shared_table(keys.join(open_, "key", "left_semi").select("key", "x"), "line-open")
+    drop_table(keys)
+    keys = pair_blocks(met, "key", "x", BLOCK).join(found, "x")
+    keys = keys.select(F.xxhash64("key", "lo", "hi").alias("group"), "x", "rest", (F.col("lo") < F.col("hi")).alias("cross"), "blk", "n", "a")
+    keys = keys.repartition("group").sortWithinPartitions("group", "x")
+    return keys.mapInPandas(whole_groups(line_pairs.links(stars)), "x long, y long").distinct()
+
+
+def _linked(docs: DataFrame, lines: DataFrame, shared: DataFrame, text_col: str) -> DataFrame:
     """As _leaves, for lines that agree with one outside shared: leaf is the group of links."""
-    pairs = shared_table(_agreeing(_pairs(docs, text_col), shared), "line-pairs")
-    ends = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
-    forms = shared_table(_forms(lines.join(ends, "x", "left_semi"), "n", "kind"), "line-ends")
-    tokens = F.split(_masked(F.col("line")), " ")
-    places = F.transform(tokens, lambda v, i: F.when(v != ANY, F.xxhash64(i, v)))
-    tokens = shared_table(_at_place(docs, forms, ["n"], id_col, text_col).select("x", "n", F.array_compact(places).alias("a")), "line-places")
-    both = pairs.join(tokens, "x").join(tokens.select(F.col("x").alias("y"), F.col("n").alias("_n"), F.col("a").alias("b")), "y")
-    links = both.where((F.col("n") == F.col("_n")) & (F.size(F.array_intersect("a", "b")) * SIMILAR[1] >= F.col("n") * SIMILAR[0]))
-    groups = shared_table(components(shared_table(links.select("x", "y"), "line-links"), "x", "y"), "line-groups")
-    forms = forms.join(groups.select(F.col("id").alias("x"), F.xxhash64("component").alias("leaf")), "x")
+    links = shared_table(_agreeing(_pairs(docs, text_col), shared, stars=True), "line-links")
+    groups = shared_table(components(links, "x", "y"), "line-groups")
+    forms = _forms(lines.join(groups.select(F.col("id").alias("x")), "x", "left_semi"), "n", "kind")
+    forms = shared_table(forms, "line-ends").join(groups.select(F.col("id").alias("x"), F.xxhash64("component").alias("leaf")), "x")
     size = forms.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= BRANCH)
     return forms.withColumn("own", F.array().cast("array<boolean>")).join(size, "leaf")
 
@@ -294,7 +286,7 @@ def _drops(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame
     """(_id, _dh, _at): the lines that go, for each document that loses some."""
     paths = shared_table(_lines(docs, id_col, text_col, depth), "line-paths")
     shared = _shared(paths)
-    linked = shared_table(_linked(docs, paths, shared, id_col, text_col), "line-linked")
+    linked = shared_table(_linked(docs, paths, shared, text_col), "line-linked")
     slim = paths.drop("parts")
     lines = shared_table(slim.join(shared, "x", "left_semi"), "line-parsed")
     more = linked.join(shared, "x", "left_anti").select("x")

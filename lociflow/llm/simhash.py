@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, components, local_components, map_text, pair_blocks, shared_table
+from .common import by_place, components, local_components, map_text, pair_blocks, shared_table, whole_groups
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -155,27 +155,7 @@ def _close_pairs(nodes: DataFrame, keys: list[list[int]], max_bits: int, max_sig
         return pd.DataFrame({"a": rep[own], "b": rep[label[own]]}).drop_duplicates()
 
     rows = dealt.select("group", "lo", "hi", "blk", "rep", "fp", "sig")
-    return rows.mapInPandas(_whole_groups(links), "a long, b long").distinct()
-
-
-def _whole_groups(links):
-    """For mapInPandas over rows sorted by group: calls links with whole groups, several at a time."""
-
-    def run(batches):
-        rest = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["group"].to_numpy() == pdf["group"].iat[-1]
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            rest = pdf.iloc[cut:].reset_index(drop=True)
-            if cut:
-                yield links(pdf.iloc[:cut].reset_index(drop=True))
-        if rest is not None and len(rest) > 1:
-            yield links(rest)
-
-    return run
+    return rows.mapInPandas(whole_groups(links), "a long, b long").distinct()
 
 
 def alike_components(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -231,7 +211,7 @@ def _alike_edges(docs: DataFrame, nodes: DataFrame, width: int, least: float, id
             out.append(np.stack((rep[lo + moved], rep[lo + label[moved]]), 1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    return dealt.mapInPandas(_whole_groups(links), "a long, b long").distinct()
+    return dealt.mapInPandas(whole_groups(links), "a long, b long").distinct()
 
 
 def simhash_components(

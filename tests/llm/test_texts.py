@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from lociflow.llm import html_extract, langid, line_dedup, mixing, simhash, spbpe, toxicity
+from lociflow.llm import html_extract, langid, line_dedup, line_pairs, mixing, simhash, spbpe, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, _h string, score double, pos int"
 LONG = " ".join(f"word{i % 977}" for i in range(30000))
@@ -305,6 +305,25 @@ def test_line_dedup_finds_all_agreeing_lines(spark):
         assert len(got) == len(set(got))
 
 
+def test_line_dedup_compares_no_lines_that_share_common_pairs_only(spark):
+    # one pair at one place in all lines, and lines of a template with fields in all quarters
+    apart = [" ".join(["of", "the", *(f"v{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(8))]) for i in range(300)]
+    alike = [" ".join(f"u{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" if j % 3 == 0 else f"t{chr(97 + j)}" for j in range(12)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(apart + alike)), "doc_id long, text string")
+    none = spark.createDataFrame([], "x long")
+    assert line_dedup._agreeing(line_dedup._pairs(docs, "text"), none).count() == 120 * 119 // 2
+    stars = line_dedup._agreeing(line_dedup._pairs(docs, "text"), none, stars=True).collect()
+    # each of the keys gives a star at most, and all are connected
+    assert len(stars) < 3 * 120 and len({v for r in stars for v in (r.x, r.y)}) == 120
+
+
+def test_blocks_of_similar_lines_lose_none():
+    for n in range(line_dedup.UNSURE, 200):
+        got = line_pairs.blocks(n)
+        assert [p for lo, hi, _ in got for p in range(lo, hi)] == list(range(n))
+        assert sum(e + 1 for *_, e in got) > line_pairs.differ(n) == n - -(-n * 3 // 5)
+
+
 def test_line_dedup_without_blanks(spark):
     line = "未经许可不得转载本网站的任何内容"
     rows = [(i, f"{own(i)}\n{line}\nshort", "en", "s", 0) for i in range(4)]
