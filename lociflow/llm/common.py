@@ -8,6 +8,8 @@ re-run of its tasks only.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +67,13 @@ def drop_table(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def memory_freed() -> None:
+    """Give what Python has freed back to the system, where its allocator can (glibc)."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold_of(doc_id, folds: int):
     """crc32 of the id's decimal text modulo folds (null ids count as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds

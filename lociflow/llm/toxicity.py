@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, shared_table
+from .common import map_text, memory_freed, shared_table
 
 #: Labelled rows to learn from, at most: of label 1, of label 0.
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
@@ -260,7 +260,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
             yield pd.DataFrame({"t": words, "y": pdf["y"]})
 
     got = some.select("t", F.col("y").cast("int").alias("y")).mapInPandas(run, "t string, y int").collect()  # bounded as above
-    return learn(sorted((r.t, r.y) for r in got))
+    rows = sorted((r.t, r.y) for r in got)
+    del got
+    model = learn(rows)
+    del rows
+    memory_freed()  # else the driver holds its peak through all that follows
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col="text", keep: list[str | Column] | None = None) -> DataFrame:
