@@ -22,14 +22,18 @@ import re
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 
+from .common import local_components
 from .simhash import _mixed
 
 ANY = b"<*>"
 #: Bytes of lines in a chunk, pairs of tokens in a bucket, bits of a pair.
 CHUNK, BUCKET, BITS = 1 << 21, 1 << 22, 40
+#: Rows of a key from which they are compared one with all others, else all pairs at once.
+LARGE = 32
 _SPECIAL = re.compile(rb"  |[\x09-\x0D0-9@:]")
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _VARIABLE = re.compile(rb"(?<![^\x20])(?:[^\x200-9@/]*+[0-9@]|[a-z]++://)[^\x20]*+")
@@ -246,13 +250,11 @@ def links(stars: bool):
     """For whole_groups: rows (group, x, rest, cross, blk, n, a) that share a key; gives (x, y) of those that agree, x < y.
 
     stars: of the links of a group only as many as connect the same lines."""
-    import pandas as pd
-
     def compared(x, rest, cross, blk, a):
         """Links as indices, each line compared with the later ones; stars: with those not reached yet."""
         if not stars:
             for i in range(len(x) - 1):
-                ok = (rest[i] | rest[i + 1 :]) & (~cross | (blk[i + 1 :] != blk[i])) & (x[i + 1 :] != x[i])
+                ok = (rest[i] | rest[i + 1 :]) & ((blk[i + 1 :] != blk[i]) | (not cross)) & (x[i + 1 :] != x[i])
                 to = i + 1 + np.flatnonzero(ok)
                 yield i, to[agree(a[i], a[to])]
             return
@@ -271,21 +273,44 @@ def links(stars: bool):
     def agree(one, many):
         return ((one == many) & (one != 0)).sum(1) * 5 >= 3 * many.shape[1]
 
+    def small(x, rest, cross, blk, a, end, at):
+        """Links as indices, of rows `at` whose groups end at `end`: every row with the next, the one after and so on."""
+        step, found = 1, [np.zeros((2, 0), np.int64)]
+        while len(at):
+            at = at[at + step < end[at]]
+            to = at + step
+            ok = (rest[at] | rest[to]) & (~cross[at] | (blk[at] != blk[to])) & (x[at] != x[to])
+            i, j = at[ok], to[ok]
+            for lo in range(0, len(i), most := max(1, (1 << 20) // a.shape[1])):
+                p, q = i[lo : lo + most], j[lo : lo + most]
+                near = agree(a[p], a[q])
+                found.append(np.stack((p[near], q[near])))
+            step += 1
+        i, j = np.concatenate(found, 1)
+        if stars:
+            label = local_components(len(x), i, j)
+            i = np.flatnonzero(label != np.arange(len(x)))
+            j = label[i]
+        return i, j
+
     def run(pdf):
-        group, x, rest, cross, blk, n = (pdf[c].to_numpy() for c in ("group", "x", "rest", "cross", "blk", "n"))
-        start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))).tolist()
-        u, v = [], []
-        for lo, hi in zip(start, [*start[1:], len(pdf)]):
-            if hi - lo < 2 or not rest[lo:hi].any():
-                continue
-            # a key of other lines by chance: lines of one length only are compared
-            for k in np.unique(n[lo:hi]).tolist():
-                own = lo + np.flatnonzero(n[lo:hi] == k)
-                a = np.frombuffer(b"".join(pdf["a"].iloc[own]), np.uint64).reshape(-1, k)
-                for i, to in compared(x[own], rest[own], bool(cross[lo]), blk[own], a):
-                    u.extend([x[own[i]]] * len(to))
-                    v.extend(x[own[to]].tolist())
-        u, v = np.array(u, np.int64), np.array(v, np.int64)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # a key of other lines by chance: lines of one length only are compared
+        for k, part in pdf.groupby("n", sort=False):
+            group, x, rest, cross, blk = (part[c].to_numpy() for c in ("group", "x", "rest", "cross", "blk"))
+            a = np.frombuffer(b"".join(part["a"]), np.uint64).reshape(-1, k)
+            start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            size = np.diff(np.concatenate((start, [len(x)])))
+            end, large = np.repeat(start + size, size), size > LARGE
+            i, j = small(x, rest, cross, blk, a, end, np.flatnonzero(~np.repeat(large, size)))
+            u.append(x[i])
+            v.append(x[j])
+            for lo, n in zip(start[large].tolist(), size[large].tolist()):
+                own = slice(lo, lo + n)
+                for i, to in compared(x[own], rest[own], bool(cross[lo]), blk[own], a[own]):
+                    u.append(np.full(len(to), x[lo + i]))
+                    v.append(x[lo + to])
+        u, v = np.concatenate(u), np.concatenate(v)
         return pd.DataFrame({"x": np.minimum(u, v), "y": np.maximum(u, v)}).drop_duplicates()
 
     return run

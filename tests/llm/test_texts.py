@@ -199,6 +199,14 @@ def test_mixed_documents_repeat_whole_texts(spark):
     assert all(r.text in texts for r in got.collect())
 
 
+def test_fitting_gives_memory_back(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity, "memory_freed", lambda: calls.append(1))
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(4)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int"))
+    assert calls
+
+
 # --- lines
 
 
